@@ -26,17 +26,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str = "table", row_id: str | None = None, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str = "table", row_id: str | None = None, codec: str = "zstd", by: str | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation.
 
-    row_id: name of a column of unique numbers, which stay as they were written.
+    row_id: name of a column of unique numbers, which stay as they were written. by: column to partition the table by.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if row_id:
         df = df.withColumn(row_id, F.monotonically_increasing_id())
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")  # the exchanges of this write are not needed once it is done
+    try:
+        df.write.option("compression", codec).parquet(path, partitionBy=by)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)  # a partition column comes last
 
 
 def packed_rows(docs: DataFrame) -> Column:
@@ -44,6 +50,11 @@ def packed_rows(docs: DataFrame) -> Column:
     return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
 
 
+def remainder(docs: DataFrame, by: int) -> Column:
+    """crc32(doc_id as text) mod by; a null id counts as empty text."""
+    return F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) % by
+
+
 def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
@@ -53,6 +64,20 @@ def uniform(*cols: Column | str) -> Column:
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
 
 
+def might_be_in(number: Column, wanted: DataFrame, name: str, log_size: int = 20) -> Column:
+    """A filter that keeps every row whose number is in wanted[name], and few others while wanted is small.
+
+    It is a bitmap of 2 ** log_size hashed numbers, so the driver gets 128 KB at most; a join must follow.
+    """
+    slot = F.pmod(F.xxhash64(wanted[name]), F.lit(1 << log_size))
+    words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("bits")).collect()
+    bitmap = [0] * (1 << (log_size - 6))
+    for row in words:
+        bitmap[row["at"]] = row["bits"]
+    mine = F.pmod(F.xxhash64(number), F.lit(1 << log_size))
+    return F.getbit(F.get(F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>"), F.shiftright(mine, 6).cast("int")), mine.bitwiseAND(63).cast("int")) == 1
+
+
 def has_unique_ids(rows: DataFrame) -> bool:
     """Whether doc_id is never null and never repeated."""
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()

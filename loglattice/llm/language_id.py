@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import packed_rows, written
+from .common import packed_rows, remainder, written
 
 #: Labelled documents of each language that the model learns from, about; words of each that count; words and n-grams kept.
 PER_LANGUAGE, WORDS_EACH, MOST_WORDS, MOST_GRAMS = 1500, 2000, 60_000, 120_000
@@ -153,11 +153,6 @@ def judged(docs: DataFrame, model: Model, keep: Callable[[str, float], bool] | N
     return docs.mapInArrow(run, schema)
 
 
-def remainder(docs: DataFrame, by: int) -> Column:
-    """crc32(doc_id as text) mod by; a null id counts as empty text."""
-    return F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) % by
-
-
 def identify_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; learned from the rows that are not held out."""
     out = remainder(docs, folds) == held_out
