@@ -1,4 +1,4 @@
-"""Registered queries of the library's own operators, each with the SQL that gives the same rows."""
+"""Registered queries of the library's own operators, each over whole tables, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,17 +7,484 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import columns as fn
+from .functions.patterns import PATTERNS, extract_pattern
+from .operators import chunking, levels, ordering, records
+from .plans.pipeline import Pipeline
+from .sources import readers, writers
+
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
 
-def error_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.where(F.col("event_type") == "error").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_errors"))
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {"error_sessions": error_sessions}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"error_sessions": "SELECT user_id, count(*) AS n_errors FROM events WHERE event_type = 'error' GROUP BY user_id"}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events")
+
+
+def document_lines(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, LINENUM, line of every line of every document."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).cast("long").alias("LINENUM"), "line")
+
+
+LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS linenum FROM documents)"
+
+# -- flagship ---------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n
+FROM events WHERE lower(event_type) IN ('error', 'purchase')
+""")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Level filter, derived field, running count and projection in one pipeline."""
+    p = Pipeline(events(spark, d), order="event_id").levels(include=["error", "purchase"], level="event_type")
+    return p.derive(k="cast(get_json_object(props, '$.k') as bigint)").inc("n", by=["event_type"]).keys(["event_id", "event_type", "k", "n"]).frame
+
+
+@query("SELECT user_id, count(*) AS n_errors FROM events WHERE event_type = 'error' GROUP BY user_id")
+def error_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).where(F.col("event_type") == "error").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_errors"))
+
+
+# -- levels -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, event_type FROM events WHERE lower(event_type) IN ('error', 'signup')")
+def filter_level(spark: SparkSession, d: str) -> DataFrame:
+    return levels.filter_levels(events(spark, d), include=["ERROR", "signup"], level="event_type").select("event_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM events WHERE lower(event_type) NOT IN ('view', 'click')")
+def exclude_level(spark: SparkSession, d: str) -> DataFrame:
+    return levels.filter_levels(events(spark, d), exclude=["view", "click"], level="event_type").select("event_id", "event_type")
+
+
+@query(
+    "WITH " + LINES + " SELECT doc_id, linenum, CASE "
+    + " ".join(f"WHEN regexp_matches(lower(line), '{levels.family_regex(names)}') THEN '{level}'" for level, names in levels.FAMILIES.items())
+    + " END AS level FROM lines"
+)
+def level_from_text(spark: SparkSession, d: str) -> DataFrame:
+    return document_lines(spark, d).select("doc_id", F.col("LINENUM").alias("linenum"), levels.level_from_text("line").alias("level"))
+
+
+@query("""
+WITH n AS (SELECT event_id, substr(lower(event_type), 1, 1) AS mark, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 80) AS BIGINT) AS row, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t FROM events)
+SELECT row, arg_min(t, event_id) AS timestamp, string_agg(mark, '' ORDER BY event_id) AS map FROM n GROUP BY row
+""")
+def levelmap(spark: SparkSession, d: str) -> DataFrame:
+    df = events(spark, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return levels.level_map(df, "event_id", level="event_type", timestamp="ts")
+
+
+# -- filters, derived fields, projections -----------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'")
+def filter_expr(spark: SparkSession, d: str) -> DataFrame:
+    return Pipeline(table(spark, d, "lineitem")).filter("l_quantity >= 45 and l_returnflag = 'R'").keys(["l_orderkey", "l_linenumber", "l_quantity"]).frame
+
+
+@query("SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) <> 0")
+def filter_truthy(spark: SparkSession, d: str) -> DataFrame:
+    return Pipeline(events(spark, d)).filter("cast(get_json_object(props, '$.k') as bigint)").keys(["event_id"]).frame
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS total, (l_extendedprice * (1 - l_discount)) * (1 + l_tax) AS charge FROM lineitem")
+def derive_total(spark: SparkSession, d: str) -> DataFrame:
+    p = Pipeline(table(spark, d, "lineitem")).derive(total="l_extendedprice * (1 - l_discount)", _taxed="1 + l_tax", charge="total * _taxed")
+    return p.keys(["l_orderkey", "l_linenumber", "total", "charge"]).frame
+
+
+@query("SELECT event_id, ts, user_id, event_type, value FROM events")
+def derive_delete(spark: SparkSession, d: str) -> DataFrame:
+    return Pipeline(events(spark, d)).derive(props=None).frame
+
+
+@query("SELECT event_id || ':' || upper(event_type) AS line FROM events WHERE value IS NOT NULL")
+def eval_line(spark: SparkSession, d: str) -> DataFrame:
+    return Pipeline(events(spark, d)).eval("case when value is not null then concat(event_id, ':', upper(event_type)) end").frame
+
+
+@query("SELECT doc_id, linenum, string_split(line, ' ')[1] AS first FROM (WITH " + LINES + " SELECT * FROM lines) WHERE line <> ''")
+def text_to_data(spark: SparkSession, d: str) -> DataFrame:
+    lines = document_lines(spark, d).where("line <> ''")
+    return Pipeline(lines).select(doc_id="doc_id", linenum="LINENUM", first="split(line, ' ')[0]").frame
+
+
+@query("SELECT user_id, event_id FROM events")
+def keys_project(spark: SparkSession, d: str) -> DataFrame:
+    return records.keys(events(spark, d), ["user_id", "missing", "event_id"])
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM events")
+def remove_keys(spark: SparkSession, d: str) -> DataFrame:
+    return records.remove_keys(events(spark, d), ["value", "props", "missing"])
+
+
+@query("SELECT ts, event_type FROM events")
+def common_keys(spark: SparkSession, d: str) -> DataFrame:
+    return records.common_keys(events(spark, d), ["event_type"])
+
+
+@query("SELECT page_id, regexp_extract(url, '([^\\s]+)://([^\\s]+)/([+-]?\\d+)', 2) AS host, TRY_CAST(regexp_extract(url, '([^\\s]+)://([^\\s]+)/([+-]?\\d+)', 3) AS BIGINT) AS number FROM pages WHERE regexp_matches(url, '([^\\s]+)://([^\\s]+)/([+-]?\\d+)')".replace("\\\\", "\\"))
+def extract_vars_url(spark: SparkSession, d: str) -> DataFrame:
+    return records.extract_vars(table(spark, d, "pages"), "{scheme}://{host}/{number:int}", "url").where("scheme is not null").select("page_id", "host", "number")
+
+
+# -- order: line numbers, counters, windows, exit ---------------------------------------------------------------
+
+
+@query("WITH " + LINES + " SELECT doc_id, linenum, line FROM lines WHERE trim(line) <> ''")
+def linenum(spark: SparkSession, d: str) -> DataFrame:
+    return document_lines(spark, d).where(F.trim("line") != "").select("doc_id", F.col("LINENUM").alias("linenum"), "line")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events")
+def inc_running(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.running_count(events(spark, d).select("event_id", "event_type"), "n", "event_id", ["event_type"]).select("event_id", "n")
+
+
+@query("SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS errors FROM events")
+def inc_conditional(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.running_count(events(spark, d).select("event_id", "event_type"), "errors", "event_id", when=F.col("event_type") == "error").select("event_id", "errors")
+
+
+@query("SELECT event_id, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events")
+def inc_amount(spark: SparkSession, d: str) -> DataFrame:
+    rows = events(spark, d).select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return ordering.running_total(rows, F.col("k"), "total", "event_id", ["user_id"]).select("event_id", "total")
+
+
+@query("SELECT event_type, count(*) AS total FROM events GROUP BY event_type")
+def inc_total(spark: SparkSession, d: str) -> DataFrame:
+    return Pipeline(events(spark, d), by=("event_type",)).end(total=F.count(F.lit(1))).footer
+
+
+_TRAIL = "OVER (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+
+
+@query(f"SELECT event_id, round(sum(value) {_TRAIL}, 4) AS window_sum, count(*) {_TRAIL} AS window_size FROM events")
+def window_sum(spark: SparkSession, d: str) -> DataFrame:
+    made = ordering.trailing(events(spark, d).select("event_id", "value"), 3, "event_id", {"window_sum": lambda w: F.round(F.sum("value").over(w), 4), "window_size": ordering.window_size()})
+    return made.select("event_id", "window_sum", "window_size")
+
+
+@query(f"SELECT event_id, array_to_string(list(event_type) {_TRAIL}, '|') AS window_values, len(list(value) {_TRAIL}) AS window_numbers FROM events")
+def window_values_joined(spark: SparkSession, d: str) -> DataFrame:
+    made = ordering.trailing(events(spark, d).select("event_id", "event_type", "value"), 3, "event_id", {"window_values": ordering.window_values("event_type"), "window_numbers": ordering.window_numbers("value")})
+    return made.select("event_id", F.array_join("window_values", "|").alias("window_values"), F.size("window_numbers").cast("long").alias("window_numbers"))
+
+
+@query("SELECT event_id, value - lag(value, 1) OVER (ORDER BY event_id) AS change FROM events")
+def window_change(spark: SparkSession, d: str) -> DataFrame:
+    made = ordering.trailing(events(spark, d).select("event_id", "value"), 2, "event_id", {"last": ordering.back("value", 1)})
+    return made.select("event_id", (F.col("value") - F.col("last")).alias("change"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), '>') AS roles FROM conversations")
+def window_by_conversation(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return ordering.trailing(rows, 4, "turn", {"w": ordering.window_values("role")}, ["conv_id"]).select("conv_id", "turn", F.array_join("w", ">").alias("roles"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id <= (SELECT min(event_id) FROM events WHERE value > (SELECT max(value) FROM events) * 0.9)")
+def exit_prefix(spark: SparkSession, d: str) -> DataFrame:
+    df = events(spark, d)
+    most = df.agg(F.max("value")).first()[0]
+    return Pipeline(df, order="event_id").exit(F.col("value") > most * 0.9).keys(["event_id", "event_type"]).frame
+
+
+@query("SELECT conv_id, turn, text FROM conversations c WHERE turn <= coalesce((SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND x.role = 'assistant'), 1000000)")
+def exit_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.until_exit(table(spark, d, "conversations"), F.col("role") == "assistant", "turn", ["conv_id"]).select("conv_id", "turn", "text")
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'view'")
+def skip_rows(spark: SparkSession, d: str) -> DataFrame:
+    return Pipeline(events(spark, d)).skip("event_type = 'view'").keys(["event_id"]).frame
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def first_seen(spark: SparkSession, d: str) -> DataFrame:
+    counted = ordering.running_count(events(spark, d).select("event_id", "user_id"), "n", "event_id", ["user_id"])
+    return counted.where("n = 1").select("user_id", "event_id")
+
+
+@query("SELECT 0 AS part, 'begin' AS line UNION ALL SELECT 1, CAST(event_id AS VARCHAR) FROM events UNION ALL SELECT 2, CAST(count(*) AS VARCHAR) FROM events")
+def begin_end(spark: SparkSession, d: str) -> DataFrame:
+    lines = Pipeline(events(spark, d)).eval("event_id")
+    return lines.begin(spark.createDataFrame([("begin",)], "line string")).end(line="cast(count(1) as string)").result().select("part", "line")
+
+
+@query("SELECT conv_id, turn, 0 AS emission, text AS line FROM conversations UNION ALL SELECT conv_id, turn, 1, upper(role) FROM conversations UNION ALL SELECT conv_id, turn, 2, CAST(length(text) AS VARCHAR) FROM conversations")
+def fan_out(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "conversations").withColumnRenamed("text", "line")
+    return Pipeline(df).emit("array(upper(role), cast(length(line) as string))").frame.select("conv_id", "turn", "emission", "line")
+
+
+# -- chunks -----------------------------------------------------------------------------------------------------
+
+_AGG = "min(linenum) AS start_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY linenum) AS text"
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(floor((linenum - 1) / 4) AS BIGINT) AS chunk, {_AGG} FROM lines GROUP BY doc_id, chunk")
+def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_lines(document_lines(spark, d), 4, by=["doc_id"])
+
+
+@query(f"WITH {LINES}, c AS (SELECT *, CAST(sum(CASE WHEN regexp_matches(line, '^(The|Der|La|Le|Los)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY linenum ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chunk FROM lines) SELECT doc_id, chunk, {_AGG} FROM c GROUP BY doc_id, chunk")
+def chunk_start(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_start(document_lines(spark, d), "^(The|Der|La|Le|Los)", by=["doc_id"])
+
+
+@query(f"WITH {LINES}, c AS (SELECT *, CAST(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY linenum ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chunk FROM lines) SELECT doc_id, chunk, {_AGG} FROM c WHERE trim(line) <> '' GROUP BY doc_id, chunk")
+def chunk_delim(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_delimiter(document_lines(spark, d), "", by=["doc_id"])
+
+
+# -- functions --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, regexp_matches(text, 'the [a-z]+ing') AS found, len(regexp_extract_all(text, '[A-Za-z]+ing')) AS n, regexp_replace(text, '([a-z]+)ing', '<\\1>', 'g') AS replaced FROM documents")
+def regex_functions(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", fn.regex_match("the [a-z]+ing", "text").alias("found"), F.size(fn.regex_find_all("[A-Za-z]+ing", "text")).cast("long").alias("n"), fn.regex_replace("([a-z]+)ing", "<$1>", "text").alias("replaced"))
+
+
+def _pattern_query(name: str, of: str, key: str, column: str) -> None:
+    pattern = PATTERNS[name][0].replace("'", "''")
+    sql = f"SELECT {key}, nullif(regexp_extract({column}, '{pattern}'), '') AS found FROM {of}"
+    query(sql, f"extract_{name}_{of}")(lambda spark, d: table(spark, d, of).select(key, extract_pattern(name, column).alias("found")))
+
+
+for _name in ("num", "version", "gitcommit", "ipv4", "email", "fqdn", "duration", "oauth", "sha1", "jwt"):
+    _pattern_query(_name, "documents", "doc_id", "text")
+for _name in ("url", "fqdn", "path", "num"):
+    _pattern_query(_name, "pages", "page_id", "url")
+
+
+@query("SELECT part.p_partkey, string_split(p_name, ' ')[1] AS first, string_split(p_name, ' ')[-1] AS last, array_to_string(string_split(p_name, ' ')[1:2], '-') AS two FROM part")
+def cols_words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", fn.cols("p_name", 0).alias("first"), fn.cols("p_name", -1).alias("last"), fn.cols("p_name", "0:2", outsep="-").alias("two"))
+
+
+@query("SELECT page_id, string_split(url, '/')[3] AS host, coalesce(string_split(url, '/')[9], '') AS missing FROM pages")
+def cols_sep(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", fn.cols("url", 2, sep="/").alias("host"), fn.cols("url", 8, sep="/").alias("missing"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.x.y'), 'none') AS missing FROM events")
+def json_path(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select("event_id", fn.get_path("k", "props").alias("k"), fn.get_path("x.y", "props", "none").alias("missing"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def parse_json(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select("event_id", fn.parse_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT c_custkey, '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' AS json FROM customer")
+def dump_json(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", fn.dump_json(F.struct("c_custkey", "c_name")).alias("json"))
+
+
+@query("SELECT event_id, CAST(event_id AS VARCHAR) AS a, event_type AS b, '' AS c FROM events")
+def parse_csv(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat_ws(",", F.col("event_id").cast("string"), F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
+    record = fn.parse_csv(line, ["a", "b", "c"])
+    return events(spark, d).select("event_id", record["a"].alias("a"), record["b"].alias("b"), record["c"].alias("c"))
+
+
+@query("SELECT event_id, event_id || ';' || event_type AS line FROM events")
+def dump_csv(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select("event_id", fn.dump_csv(F.array(F.col("event_id").cast("string"), "event_type"), ";").alias("line"))
+
+
+@query("SELECT event_id, event_type AS type, CAST(user_id AS VARCHAR) AS user FROM events")
+def parse_kv(spark: SparkSession, d: str) -> DataFrame:
+    kv = fn.parse_kv(F.concat(F.lit("type="), F.col("event_type"), F.lit(" junk user="), F.col("user_id").cast("string")))
+    return events(spark, d).select("event_id", kv["type"].alias("type"), kv["user"].alias("user"))
+
+
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso, strftime(ts, '%d/%m/%Y %H:%M') AS day, CAST(floor(epoch(ts)) AS BIGINT) + 3600 AS later, 3600 AS diff FROM events")
+def timestamps(spark: SparkSession, d: str) -> DataFrame:
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    df = events(spark, d).withColumn("epoch", fn.parse_ts(text))
+    later = fn.ts_add("epoch", F.lit(3600))
+    return df.select("event_id", "epoch", fn.format_ts("epoch").alias("iso"), fn.format_ts("epoch", "%d/%m/%Y %H:%M").alias("day"), later.alias("later"), fn.ts_diff(later, "epoch").cast("int").alias("diff"))
+
+
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS apache, CAST(floor(epoch(ts)) AS BIGINT) AS german, CAST(floor(epoch(ts)) AS BIGINT) AS compact, CAST(floor(epoch(ts)) AS BIGINT) AS comma FROM events")
+def guess_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    forms = {"apache": "dd/MMM/yyyy:HH:mm:ss '+0000'", "german": "dd.MM.yyyy HH:mm:ss", "compact": "yyyyMMdd'T'HHmmss", "comma": "yyyy-MM-dd HH:mm:ss',123'"}
+    return events(spark, d).select("event_id", *[fn.guess_ts(F.date_format("ts", p)).alias(n) for n, p in forms.items()])
+
+
+@query("SELECT event_id, CAST((user_id % 24) * 3600 + (event_id % 60) * 60 AS DOUBLE) AS compact, CAST((user_id % 24) * 3600 + (event_id % 60) * 60 AS DOUBLE) AS spelled FROM events")
+def durations(spark: SparkSession, d: str) -> DataFrame:
+    h, m = (F.col("user_id") % 24).cast("string"), (F.col("event_id") % 60).cast("string")
+    return events(spark, d).select("event_id", fn.parse_duration(F.concat(h, F.lit("h"), m, F.lit("m"))).alias("compact"), fn.parse_duration(F.concat(h, F.lit(" hours "), m, F.lit(" minutes"))).alias("spelled"))
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
+def byte_len(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", fn.byte_length("text").cast("long").alias("bytes"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total, round(list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS mean, round(list_aggregate(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), 'quantile_cont', 0.9), 6) AS p90 FROM embeddings")
+def list_functions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.round(fn.list_sum("embedding"), 6).alias("total"), F.round(fn.list_avg("embedding"), 6).alias("mean"), F.round(fn.list_percentile("embedding", 90), 6).alias("p90"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def percentile_value(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"))
+
+
+@query("SELECT c_custkey, sign(c_acctbal * 10) * floor(abs(c_acctbal * 10) + 0.5) / 10 AS rounded, round(power(c_acctbal, 2), 4) AS squared, abs(c_acctbal) AS absolute FROM customer")
+def round_pow_abs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", fn.round_half_up("c_acctbal", 1).alias("rounded"), F.round(fn.power("c_acctbal", 2), 4).alias("squared"), fn.absolute("c_acctbal").alias("absolute"))
+
+
+@query("SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low, replace(p_name, ' ', '_') AS replaced, starts_with(p_type, 'P') AS starts, ends_with(p_type, 'S') AS ends, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS capital, len(string_split(p_name, ' ')) AS n, string_split(p_brand, '#')[1] AS before FROM part")
+def string_methods(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(
+        "p_partkey", F.upper("p_name").alias("up"), F.lower("p_type").alias("low"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("replaced"), F.col("p_type").startswith("P").alias("starts"), F.col("p_type").endswith("S").alias("ends"),
+        fn.capitalize("p_type").alias("capital"), (fn.count_of("p_name", " ") + 1).cast("long").alias("n"), fn.partition("p_brand", "#")[0].alias("before"),
+    )
+
+
+# -- formats ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'event_id=' || event_id || ' event_type=' || event_type || ' note=\"a b\" empty=\"\" gone=' AS line FROM events")
+def logfmt_line(spark: SparkSession, d: str) -> DataFrame:
+    df = events(spark, d).select("event_id", "event_type", F.lit("a b").alias("note"), F.lit("").alias("empty"), F.lit(None).cast("string").alias("gone"))
+    return writers.formatted(df, "logfmt")
+
+
+@query("SELECT event_id || ' ' || event_type AS line FROM events")
+def fields_line(spark: SparkSession, d: str) -> DataFrame:
+    return writers.formatted(events(spark, d).select("event_id", F.lit(None).cast("string").alias("gone"), "event_type"), "fields")
+
+
+@query("SELECT event_id || ',' || event_type || ',\"x,\"\"y\"\"\",' AS line FROM events")
+def csv_line(spark: SparkSession, d: str) -> DataFrame:
+    return writers.formatted(events(spark, d).select("event_id", "event_type", F.lit('x,"y"').alias("q"), F.lit(None).cast("string").alias("gone")), "csv")
+
+
+@query("SELECT '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS line FROM events")
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    return writers.formatted(events(spark, d).select("event_id", "event_type", F.lit(None).cast("string").alias("gone")), "jsonl")
+
+
+@query("SELECT event_id, event_type AS user_type, CAST(user_id AS BIGINT) AS user_id, event_id AS tags_0, event_id + 1 AS tags_1 FROM events")
+def flatten_nested(spark: SparkSession, d: str) -> DataFrame:
+    df = events(spark, d).select("event_id", F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("id")).alias("user"), F.array("event_id", F.col("event_id") + 1).alias("tags"))
+    flat = records.flatten(df)
+    return flat.toDF(*[c.replace(".", "_") for c in flat.columns])
+
+
+@query("SELECT event_id, event_type AS level, 'said \"' || user_id || '\" twice' AS msg FROM events")
+def logfmt_read(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat(F.lit("level="), F.col("event_type"), F.lit(' msg="said \\"'), F.col("user_id").cast("string"), F.lit('\\" twice"'))
+    parsed = readers.parse(events(spark, d).select("event_id", line.alias("line")), "logfmt")
+    return readers.as_columns(parsed.drop("line"), names=["level", "msg"])
+
+
+@query("SELECT event_id, event_id % 192 AS pri, CAST(floor((event_id % 192) / 8) AS BIGINT) AS facility, event_id % 8 AS severity, 'h' || user_id AS host, 'app' AS prog, event_id AS pid, event_type || ' seen' AS msg FROM events")
+def syslog_read(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat(F.lit("<"), (F.col("event_id") % 192).cast("string"), F.lit(">1 2024-02-01T08:00:00Z h"), F.col("user_id").cast("string"), F.lit(" app "), F.col("event_id").cast("string"), F.lit(" - - "), F.col("event_type"), F.lit(" seen"))
+    return readers.parse(events(spark, d).select("event_id", line.alias("line")), "syslog").select("event_id", "pri", F.col("facility").cast("long").alias("facility"), F.col("severity").cast("long").alias("severity"), "host", "prog", "pid", "msg")
+
+
+@query("SELECT page_id, 'GET' AS method, regexp_extract(url, '://[^/]*(/.*)$', 1) AS path, CAST(200 + page_id % 300 AS BIGINT) AS status, CASE WHEN page_id % 7 = 0 THEN NULL ELSE page_id END AS size, url AS referer FROM pages")
+def access_log_read(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    path = F.regexp_extract("url", "://[^/]*(/.*)$", 1)
+    line = F.concat(F.lit('10.0.0.9 - bob [01/Feb/2024:08:00:00 +0000] "GET '), path, F.lit(' HTTP/1.1" '), (200 + F.col("page_id") % 300).cast("string"), F.lit(" "), F.when(F.col("page_id") % 7 == 0, "-").otherwise(F.col("page_id").cast("string")), F.lit(' "'), F.col("url"), F.lit('" "UA/1"'))
+    return readers.parse(pages.select("page_id", line.alias("line")), "combined").select("page_id", "method", "path", "status", "size", "referer")
+
+
+@query("SELECT p_partkey, string_split(p_name, ' ')[1] AS f1, string_split(p_name, ' ')[2] AS f2 FROM part")
+def fields_read(spark: SparkSession, d: str) -> DataFrame:
+    return readers.parse(table(spark, d, "part").select("p_partkey", F.concat(F.lit("  "), F.col("p_name")).alias("line")), "fields", width=2)
+
+
+@query("SELECT count(*) AS records, min(CAST(event_id AS VARCHAR)) AS first_ts, max(CAST(event_id AS VARCHAR)) AS last_ts, 'level,ts' AS keys, (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT lower(event_type) AS t FROM events)) AS levels FROM events")
+def stats(spark: SparkSession, d: str) -> DataFrame:
+    return records.stats(events(spark, d).select(F.col("event_id").cast("string").alias("ts"), F.upper("event_type").alias("level")))
+
+
+# -- extensions -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'bad' WHEN 'purchase' THEN 'good' ELSE 'other' END AS class FROM events")
+def lookup_constant(spark: SparkSession, d: str) -> DataFrame:
+    return records.lookup(events(spark, d), {"error": "bad", "purchase": "good"}, "event_type", "class", "other").select("event_id", "class")
+
+
+@query("SELECT n_name, r_name, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name")
+def join_lookup(spark: SparkSession, d: str) -> DataFrame:
+    s, n, r = (table(spark, d, t) for t in ("supplier", "nation", "region"))
+    return s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("suppliers"))
+
+
+@query("SELECT DISTINCT event_type, user_id FROM events")
+def distinct_rows(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select("event_type", "user_id").distinct()
+
+
+@query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n FROM events) WHERE n <= 3")
+def top_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """The three largest values of each type, by a bounded aggregate before the exchange."""
+    best = F.slice(F.sort_array(F.collect_list(F.struct("value", (-F.col("event_id")).alias("i"))), asc=False), 1, 3)
+    parts = events(spark, d).groupBy("event_type", (F.col("event_id") % 64).alias("part")).agg(best.alias("best"))
+    merged = parts.groupBy("event_type").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, 3).alias("best"))
+    return merged.select("event_type", F.explode("best").alias("b")).select("event_type", (-F.col("b.i")).alias("event_id"), "b.value")
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_window(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, CAST(sum(CASE WHEN value IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n, GROUPING(event_type) AS total FROM events GROUP BY ROLLUP (event_type)")
+def rollup_types(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).rollup("event_type").agg(F.count("value").alias("n"), F.grouping("event_type").cast("long").alias("total"))
+
+
+@query("SELECT o_orderkey AS id, 'order' AS kind FROM orders UNION ALL SELECT c_custkey, 'customer' FROM customer")
+def union_tables(spark: SparkSession, d: str) -> DataFrame:
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    return o.select(F.col("o_orderkey").alias("id"), F.lit("order").alias("kind")).unionByName(c.select(F.col("c_custkey").alias("id"), F.lit("customer").alias("kind")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_join_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
