@@ -122,9 +122,11 @@ class Judge:
 def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, seed: int = 11) -> Model:
     """Learns from documents where learn holds and lang is known: about per_language of each language, by hash."""
     labelled = docs.where(learn & docs["lang"].isNotNull() & docs["text"].isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang")).select(F.col("lang").alias("of_lang"), "n_lang")
-    draw = (F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 31) - 1))) / float(1 << 31)
-    sample = labelled.select("lang", "text", draw.alias("draw")).join(sizes, F.col("lang") == F.col("of_lang")).where(F.col("draw") * F.col("n_lang") < per_language)
+    # one number for each language, as the model has one column for each: no text is shuffled to draw the sample
+    shares = {r.lang: per_language / r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.try_element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang")) if shares else F.lit(0.0)
+    draw = F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
+    sample = labelled.where(draw < share)
     counts = written(sample.select("lang", "text").mapInArrow(_counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "language-counts")
     # bounded: the most frequent words and n-grams of the sample
     top = [counts.where(F.col("n") == n).orderBy(F.desc("c"), "gram", "lang").limit(MOST_WORDS if n == 0 else MOST_GRAMS // LONGEST) for n in range(LONGEST + 1)]
