@@ -57,7 +57,7 @@ def dump_json(value: C) -> Column:
 def csv_fields(line: C, sep: str = ",") -> Column:
     """The fields of a line, quotes taken off; an empty line has none."""
     s = re.escape(sep)
-    raw = F.regexp_extract_all(col(line), F.lit(rf'(?:^|{s})("(?:[^"]|"")*"|[^{s}]*)'), F.lit(1))
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), col(line)), F.lit(rf'{s}("(?:[^"]|"")*"|[^{s}]*)'), F.lit(1))
     fields = F.transform(raw, lambda x: F.when(x.startswith('"') & (F.length(x) > 1), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
     return F.when(col(line) == "", F.array().cast("array<string>")).otherwise(fields)
 

@@ -41,9 +41,9 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], keep_blank: bool
 
 
 def read(spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None, **options) -> DataFrame:
-    """Records of files; line formats come with `line` and `rejected` where options ask for errors='keep'."""
+    """Records of files. errors: `skip`, `keep` (rejected lines in a column `rejected`) or `fail`; keep_blank: blank lines, which chunks need."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    kind, errors = format_of(paths, fmt), options.pop("errors", "skip")
+    kind, errors, keep_blank = format_of(paths, fmt), options.pop("errors", "skip"), options.pop("keep_blank", False)
     if kind in ("parquet", "orc"):
         return spark.read.format(kind).load(paths)
     if kind in ("csv", "tsv"):
@@ -53,7 +53,7 @@ def read(spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None
     if kind == "jsonl":
         mode = {"skip": "DROPMALFORMED", "fail": "FAILFAST", "keep": "PERMISSIVE"}[errors]
         return spark.read.options(mode=mode, columnNameOfCorruptRecord="rejected", **options).json(paths)
-    return parse(read_lines(spark, paths), kind, errors=errors)
+    return parse(read_lines(spark, paths, keep_blank), kind, errors=errors)
 
 
 def parse(df: DataFrame, kind: str, line: str = "line", errors: str = "skip", width: int | None = None) -> DataFrame:
