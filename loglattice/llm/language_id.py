@@ -30,7 +30,7 @@ LONGEST = 5
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Rows that a worker remembers, by token.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -59,27 +59,36 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language; rows for words, and by length for n-grams."""
+    """Log frequencies by language, one row for each word and n-gram."""
 
     def __init__(self, counts: list[tuple[str, int, str, int]]):
         self.langs = sorted({lang for lang, *_ in counts})
         place = {lang: i for i, lang in enumerate(self.langs)}
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        totals = np.zeros((LONGEST + 1, len(self.langs)))
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        rows = np.zeros((len(counts), len(self.langs)))
+        level, totals = np.zeros(len(counts), int), np.zeros((LONGEST + 1, len(self.langs)))
+        size = 0
         for lang, n, gram, c in counts:
-            tables[n].setdefault(gram, np.zeros(len(self.langs)))[place[lang]] += c
+            at = self.tables[n].setdefault(gram, size)
+            if at == size:
+                level[at], size = n, size + 1
+            rows[at, place[lang]] += c
             totals[n, place[lang]] += c
-        self.tables = [{g: np.log((row + 0.1) / (totals[n] + 0.1 * (len(t) + 1))).astype("f4") for g, row in t.items()} for n, t in enumerate(tables)]
+        kinds = np.array([len(t) + 1 for t in self.tables])
+        self.rows = np.log((rows[:size] + 0.1) / (totals + 0.1 * kinds[:, None])[level[:size]]).astype("f4")
 
-    def word(self, word: str) -> np.ndarray:
+    def places(self, word: str) -> list[int]:
+        """The rows that speak for a word: its own, or those of its longest n-grams that are known."""
         known = self.tables[0].get(word)
         if known is not None:
-            return known
+            return [known]
+        marked = f"^{word}$"
         for n in range(LONGEST, 0, -1):
-            rows = [r for g in grams_of(word, n) if (r := self.tables[n].get(g)) is not None]
-            if rows:
-                return np.mean(rows, axis=0)
-        return np.zeros(len(self.langs), "f4")
+            table = self.tables[n]
+            found = [x for i in range(len(marked) - n + 1) if (x := table.get(marked[i : i + n])) is not None]
+            if found:
+                return found
+        return []
 
 
 class Judge:
@@ -90,33 +99,59 @@ class Judge:
         self.forget()
 
     def forget(self) -> None:
-        self.rows, self.matrix = {}, np.zeros((REMEMBERED, self.width + 1), "f4")
-
-    def row(self, token: str) -> int:
-        if len(self.rows) >= REMEMBERED:
-            return -1
-        words = LETTERS.findall(token.lower())
-        at = self.rows[token] = len(self.rows)
-        for w in words:
-            self.matrix[at, : self.width] += self.model.word(w)
-        self.matrix[at, self.width] = bool(words)
-        return at
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        tokens = (text or "").split()
-        total = np.zeros(self.width + 1)
-        for i in range(0, len(tokens), 50_000):
-            part = tokens[i : i + 50_000]
-            at = [x if (x := self.rows.get(t)) is not None else self.row(t) for t in part]
-            if -1 in at:
-                self.forget()
-                at = [x if (x := self.rows.get(t)) is not None else self.row(t) for t in part]
-            total += self.matrix[at].sum(axis=0, dtype="f8")
-        if not total[-1] or not self.width:
-            return UNDETERMINED, 0.0
-        scores = total[:-1]
-        best = int(np.argmax(scores))
-        return self.model.langs[best], float(1 / np.exp(scores - scores[best]).sum())
+        self.known: dict[str, int] = {}
+        self.matrix = np.zeros((0, self.width + 1), "f4")
+
+    def meet(self, tokens: list[str]) -> None:
+        """Adds the rows of new tokens: sums over a token's words, each the mean of the rows that speak for it."""
+        at, weight, of, letters = [], [], [], np.zeros(len(tokens), "f4")
+        for i, token in enumerate(tokens):
+            for word in LETTERS.findall(token.lower()):
+                letters[i] = 1
+                if found := self.model.places(word):
+                    at += found
+                    weight += [1 / len(found)] * len(found)
+                    of += [i] * len(found)
+        rows = np.zeros((len(tokens), self.width + 1), "f4")
+        if at:
+            each = self.model.rows[at] * np.array(weight, "f4")[:, None]
+            for lang in range(self.width):
+                rows[:, lang] = np.bincount(of, weights=each[:, lang], minlength=len(tokens))
+        rows[:, -1] = letters
+        start = len(self.known)
+        self.known.update(zip(tokens, range(start, start + len(tokens)), strict=True))
+        self.matrix = np.concatenate([self.matrix, rows])
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out, group, size = [], [], 0
+        for text in texts:
+            tokens = (text or "").split()
+            group.append(tokens)
+            size += len(tokens)
+            if size > 200_000:
+                out += self.scored(group)
+                group, size = [], 0
+        return out + self.scored(group)
+
+    def scored(self, group: list[list[str]]) -> list[tuple[str, float]]:
+        if not self.width:
+            return [(UNDETERMINED, 0.0)] * len(group)
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        known = self.known
+        new = list(dict.fromkeys(t for tokens in group for t in tokens if t not in known))
+        if new:
+            self.meet(new)
+        out = []
+        for tokens in group:
+            total = self.matrix[np.fromiter(map(known.__getitem__, tokens), "i8", len(tokens))].sum(axis=0, dtype="f8")
+            if not total[-1]:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            scores = total[:-1]
+            best = int(np.argmax(scores))
+            out.append((self.model.langs[best], float(1 / np.exp(scores - scores[best]).sum())))
+        return out
 
 
 def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, seed: int = 11) -> Model:
@@ -145,7 +180,7 @@ def judged(docs: DataFrame, model: Model, keep: Callable[[str, float], bool] | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for batch in batches:
-            found = [judge(t) for t in batch["text"].to_pylist()]
+            found = judge.judge(batch["text"].to_pylist())
             if keep:
                 yield batch.filter(pa.array([keep(*x) for x in found], pa.bool_()))
             else:
@@ -162,7 +197,7 @@ def identify_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, per_l
     return judged(docs.select("doc_id", out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, least: float = 0.5, folds: int = 4, held_out: int = 2) -> DataFrame:
+def drop_unidentified(docs: DataFrame, least: float = 0.3, folds: int = 4, held_out: int = 2) -> DataFrame:
     """docs without those whose language is undetermined, or scores under least."""
     model = fit(docs, remainder(docs, folds) != held_out)
     one = docs.select(packed_rows(docs), docs["text"])
