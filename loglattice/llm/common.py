@@ -35,6 +35,8 @@ def written(df: DataFrame, name: str = "table", row_id: str | None = None, codec
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if row_id:
         df = df.withColumn(row_id, F.monotonically_increasing_id())
+    # else joins on unions may fail once their inputs are coalesced: "Can't zip RDDs with unequal numbers of partitions"
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")  # the exchanges of this write are not needed once it is done
@@ -45,6 +47,14 @@ def written(df: DataFrame, name: str = "table", row_id: str | None = None, codec
     return spark.read.schema(df.schema).parquet(path)  # a partition column comes last
 
 
+def discard(table: DataFrame) -> None:
+    """Removes the files of a table that written() made, once nothing will read it again."""
+    sc = table.sparkSession.sparkContext
+    for file in table.inputFiles()[:1]:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def packed_rows(docs: DataFrame) -> Column:
     """All columns as one, `row`, so that no name can clash."""
     return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
@@ -64,6 +74,15 @@ def uniform(*cols: Column | str) -> Column:
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
 
 
+def regrouped(df: DataFrame, *keys: str) -> DataFrame:
+    """df, as if it were not yet partitioned by keys: for the aggregated side of a join on them.
+
+    Otherwise that side keeps its partitioning, and a key that holds many rows of the other side stays in one task;
+    as it is, both sides are dealt out for the join, and Spark splits such keys.
+    """
+    return df.withColumns({k: F.array_max(F.array(k)) for k in keys})
+
+
 def might_be_in(number: Column, wanted: DataFrame, name: str, log_size: int = 20) -> Column:
     """A filter that keeps every row whose number is in wanted[name], and few others while wanted is small.
 

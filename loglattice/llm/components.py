@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import regrouped, written
 
 #: Members of a bucket from which the last search asks for a second shared bucket; rounds with leaders; rounds at most of the grouping.
 CROWDED, LEADER_ROUNDS, MOST_ROUNDS = 64, 3, 50
@@ -25,10 +25,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = both.where("b > a").join(regrouped(least, "a"), "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         down = large.select(F.col("b").alias("node"), F.col("a").alias("low"))
         lowest = down.groupBy("node").agg(F.min("low").alias("m"))
-        small = down.join(lowest, "node").select(F.col("m").alias("a"), F.col("low").alias("b")).where("a < b").unionByName(lowest.select(F.col("m").alias("a"), F.col("node").alias("b")))
+        small = down.join(regrouped(lowest, "node"), "node").select(F.col("m").alias("a"), F.col("low").alias("b")).where("a < b").unionByName(lowest.select(F.col("m").alias("a"), F.col("node").alias("b")))
         edges = written(small.distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
@@ -48,7 +48,7 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     all made: in crowded buckets those that share a second bucket, too.
     """
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = written(buckets.join(shared, "key"), "buckets")
+    buckets = written(buckets.join(regrouped(shared, "key"), "key"), "buckets")
     links = tried = None
     members = buckets.select("key", "id", F.col("id").alias("component"), F.lit(0).alias("degree"))
     for r in range(LEADER_ROUNDS + 1):
@@ -61,11 +61,11 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
                 known = groups.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id")
                 members = buckets.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
             open_keys = members.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-            members = written(members.join(open_keys, "key"), "members")
+            members = written(members.join(regrouped(open_keys, "key"), "key"), "members")
         if r < LEADER_ROUNDS:
             first = F.struct((-F.col("degree")).alias("d"), (F.col("id") if r < 2 else F.xxhash64("id")).alias("h"), F.col("id").alias("leader"), F.col("component").alias("of"))
             leaders = members.groupBy("key").agg(F.min(first).alias("f")).select("key", "f.leader", "f.of")
-            pairs = members.join(leaders, "key").where("component <> of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+            pairs = members.join(regrouped(leaders, "key"), "key").where("component <> of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         else:
             pairs = _rest(members)
         if tried is not None:
@@ -82,12 +82,12 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
 def _rest(members: DataFrame) -> DataFrame:
     """Pairs of different components within a bucket."""
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    sized = members.join(counts, "key").select("key", "id", "component", "n")
+    sized = members.join(regrouped(counts, "key"), "key").select("key", "id", "component", "n")
     few = sized.where(F.col("n") <= CROWDED).select("key", "id", "component")
     many = sized.where(F.col("n") > CROWDED).select("key", "id", "component")
     other = members.select(F.col("key").alias("key2"), "id")
     double = many.join(other, "id").where("key < key2").select(F.xxhash64("key", "key2").alias("key"), "id", "component")
     again = double.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    rest = few.unionByName(double.join(again, "key").select("key", "id", "component"))
+    rest = few.unionByName(double.join(regrouped(again, "key"), "key").select("key", "id", "component"))
     right = rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
     return rest.withColumnRenamed("id", "a").join(right, "key").where("a < b and component <> cb").select("a", "b").distinct()

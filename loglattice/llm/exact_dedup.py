@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, has_unique_ids, text_of, with_copies, written
+from .common import BLANK, has_unique_ids, regrouped, text_of, with_copies, written
 
 PREFIX = 256
 
@@ -27,8 +27,8 @@ def document_keys(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
 def survivors(keys: DataFrame) -> DataFrame:
     """Rows that share their length, and then their prefix hash, with another row."""
     lengths = keys.groupBy("n_bare").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keys.select("n_bare", "prefix_hash").join(lengths, "n_bare", "left_semi").groupBy("n_bare", "prefix_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keys.join(shared, ["n_bare", "prefix_hash"], "left_semi")
+    shared = keys.select("n_bare", "prefix_hash").join(regrouped(lengths, "n_bare"), "n_bare", "left_semi").groupBy("n_bare", "prefix_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keys.join(regrouped(shared, "n_bare", "prefix_hash"), ["n_bare", "prefix_hash"], "left_semi")
 
 
 def exact_dedup(docs: DataFrame, prefix: int = PREFIX, keys: DataFrame | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, keys: DataFrame | None =
     order = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row_id").alias("d"))
     groups = survivors(keys).groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("best")).where("size > 1")
     alone = F.col("best").isNull()
-    return keys.join(groups, "digest", "left").select(
+    return keys.join(regrouped(groups, "digest"), "digest", "left").select(
         "doc_id",
         "text_key",
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.c")).alias("keep_id"),
