@@ -29,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, written
+from .common import discard, remainder, written
 
 #: Counts up to K are discounted; tokens of a chunk; pairs of a partition, about; tokens from which a context is spread.
-K, CHUNK, PAIRS, HOT = 5, 1_000_000, 3_000_000, 750_000
+K, CHUNK, PAIRS, HOT = 5, 600_000, 1_500_000, 400_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end token is no word; the start is a context only.
 END, START = b" ", -1
@@ -42,6 +42,12 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").translate(LOWER).split(), END]
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time: rows here are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Bytes of like weight together, compressed."""
     a = np.ascontiguousarray(numbers)
@@ -194,7 +200,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def sent_pairs(chunks: DataFrame, documents: int, partitions: int, hot: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 x = Pairs(row, documents, partitions, hot)
                 out = []
                 for p in np.unique(x.p):
@@ -262,7 +268,7 @@ def backoff_replies(contexts: DataFrame, d: np.ndarray, hot: int) -> DataFrame:
 
     def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 v, cv, few, many, q = read(row)
                 at = np.flatnonzero(cv >= hot)
                 yield pa.RecordBatch.from_arrays([pa.array([row["p"]] * len(at), pa.int64()), pa.array(v[at]), pa.array(cv[at]), *(pa.array(few[at, r]) for r in range(K)), pa.array(many[at]), pa.array(q[at])], names=["p", "v", "cv", *(f"r{r}" for r in range(K)), "many", "q"])
@@ -276,7 +282,7 @@ def backoff_replies(contexts: DataFrame, d: np.ndarray, hot: int) -> DataFrame:
 
     def replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 v, *numbers = read(row)
                 a = backoff(*numbers, d)
                 for x in row["hot"] or ():
@@ -295,7 +301,7 @@ def evaluated(chunks: DataFrame, replies: DataFrame, unigrams: Unigrams, d: np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 x = Pairs(row, unigrams.documents, partitions, hot)
                 count, weight = np.zeros(len(x.v), "i8"), np.ones(len(x.v))
                 for r in row["replies"]:
@@ -321,7 +327,9 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, chunk:
 
     Documents whose crc32(doc_id as text) mod folds is held_out are scored, but not learned from.
     """
-    chunks = written(with_counts(written(chunked(docs, held_out, folds, chunk), "lm-texts")), "lm-chunks")
+    texts = written(chunked(docs, held_out, folds, chunk), "lm-texts")
+    chunks = written(with_counts(texts), "lm-chunks")
+    discard(texts)
     add = lambda col, start: F.aggregate(col, F.lit(start).cast("long"), lambda n, x: n + x)
     trained = F.zip_with("lengths", "held", lambda n, h: F.when(h, 0).otherwise(n))
     all_tokens, tokens, documents, types = (int(x or 0) for x in chunks.agg(F.sum(add(F.transform("lengths", lambda n: n.cast("long")), 0)), F.sum(add(F.transform(trained, lambda n: n.cast("long")), 0)), F.sum(F.size(F.filter("held", lambda h: ~h))), F.sum("types")).first())
