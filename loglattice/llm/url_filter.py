@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import uniform
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Keys from which the bounds come.
+#: Keys from which the bounds come, about.
 SAMPLE = 20_000
 
 
@@ -39,9 +41,9 @@ def key_of(host: Column) -> Column:
 
 
 def bounds_of(pages: DataFrame, slots: int) -> list[str]:
-    """Keys that cut the pages into about equal slots, from a sample of bounded size drawn by hash."""
-    drawn = pages.select("key", F.xxhash64("key", "path", "page_id").alias("h")).orderBy("h").limit(SAMPLE).select("key").collect()
-    keys = sorted(r.key for r in drawn)
+    """Keys that cut the pages into about equal slots, from a sample drawn by hash: SAMPLE keys, however many pages there are."""
+    share = SAMPLE / max(SAMPLE, pages.count())
+    keys = sorted(r.key for r in pages.where(uniform("key", "path", "page_id") < share).select("key").collect())
     return [keys[len(keys) * i // slots] for i in range(1, slots)] if keys else []
 
 
