@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import discard, remainder, written
 
 #: Counts up to K are discounted; tokens of a chunk; pairs of a partition, about; tokens from which a context is spread.
-K, CHUNK, PAIRS, HOT = 5, 600_000, 1_500_000, 400_000
+K, CHUNK, PAIRS, HOT = 5, 1_000_000, 1_500_000, 400_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end token is no word; the start is a context only.
 END, START = b" ", -1
