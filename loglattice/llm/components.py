@@ -53,7 +53,7 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     members = buckets.select("key", "id", F.col("id").alias("component"), F.lit(0).alias("degree"))
     for r in range(LEADER_ROUNDS + 1):
         if r:
-            if links.isEmpty():
+            if links is None or links.isEmpty():
                 members = buckets.select("key", "id", F.col("id").alias("component"), F.lit(0).alias("degree"))
             else:
                 groups = connected_components(links).select(F.col("node").alias("id"), "component")
@@ -72,7 +72,9 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            if members.isEmpty():
+                break
+            continue  # other leaders, or the last search, may still find links in open buckets
         found = written(verify(pairs), "links")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglattice.llm import exact_dedup, katz_lm, language_id, license_scan, line_dedup, minhash_dedup, mixing, packing, topk_search, url_filter
-from loglattice.llm.components import connected_components
+from loglattice.llm.components import connected_components, linked
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -146,6 +146,17 @@ def test_connected_components(spark):
     assert got == {x: root(x) for x in linked}
 
 
+def links_of(spark, buckets, similar):
+    """Links that linked() finds, where similar are the pairs that hold."""
+    held = spark.createDataFrame(sorted(similar), "a long, b long")
+    return {(r.a, r.b) for r in linked(spark.createDataFrame(buckets, "key long, id long"), lambda pairs: pairs.join(held, ["a", "b"], "left_semi")).collect()}
+
+
+def test_links_after_a_round_without_new_pairs(spark):
+    """The leader is like no one, so that its round repeats; the other two are similar."""
+    assert links_of(spark, [(0, 1), (0, 2), (0, 3)], {(2, 3)}) == {(2, 3)}
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://a.com", "http://A.COM/x", "http://com/x", "http://example.com/en/1", "http://www.example.com/en/1?q", "http://x.www.example.com/en/", "http://wwwexample.com/en/", "http://a.net/es/1", "http://a.net/de/", "https://b.net:80/fr/", "http://a.org/#x://b", "http://example.com./en/"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(100 + i, "http://hot.net/fr/x") for i in range(500)], "page_id long, url string").withColumns({"host": F.lit(1), "slot": F.lit(2), "verdict": F.lit(3)})
