@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import regrouped, written
 
-#: Members of a bucket from which the last search asks for a second shared bucket; rounds with leaders; rounds at most of the grouping.
+#: Members of a block, about, in which the last search takes a bucket; rounds with leaders; rounds at most of the grouping.
 CROWDED, LEADER_ROUNDS, MOST_ROUNDS = 64, 3, 50
 
 
@@ -45,7 +45,7 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     verify takes distinct pairs (a, b) and returns those that hold. No bucket's pairs are all made: members are
     held against a leader, whose choice changes from round to round (smallest id, then most links), and only
     buckets that still hold several components go on. At last, the pairs of different components that are left are
-    all made: in crowded buckets those that share a second bucket, too.
+    all made, in crowded buckets by pairs of blocks, so that no task holds all of one.
     """
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = written(buckets.join(regrouped(shared, "key"), "key"), "buckets")
@@ -82,14 +82,12 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
 
 
 def _rest(members: DataFrame) -> DataFrame:
-    """Pairs of different components within a bucket."""
+    """All pairs of different components within a bucket; a crowded one is held against itself block by block."""
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    sized = members.join(regrouped(counts, "key"), "key").select("key", "id", "component", "n")
-    few = sized.where(F.col("n") <= CROWDED).select("key", "id", "component")
-    many = sized.where(F.col("n") > CROWDED).select("key", "id", "component")
-    other = members.select(F.col("key").alias("key2"), "id")
-    double = many.join(other, "id").where("key < key2").select(F.xxhash64("key", "key2").alias("key"), "id", "component")
-    again = double.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    rest = few.unionByName(double.join(regrouped(again, "key"), "key").select("key", "id", "component"))
-    right = rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return rest.withColumnRenamed("id", "a").join(right, "key").where("a < b and component <> cb").select("a", "b").distinct()
+    blocks = F.ceil(F.col("n") / CROWDED).cast("int")
+    sized = members.join(regrouped(counts, "key"), "key").select("key", "id", "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component")
+    right = dealt.select("key", "low", "high", F.col("block").alias("block_b"), F.col("id").alias("b"), F.col("component").alias("cb"))
+    # a pair in one block meets once for each other block, and counts where the block is held against itself
+    once = (F.col("low") == F.col("high")) | (F.col("block") != F.col("block_b"))
+    return dealt.withColumnRenamed("id", "a").join(right, ["key", "low", "high"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & once).select("a", "b").distinct()

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loglattice.llm import exact_dedup, katz_lm, language_id, license_scan, line_dedup, minhash_dedup, mixing, packing, topk_search, url_filter
+from loglattice.llm import components, exact_dedup, katz_lm, language_id, license_scan, line_dedup, minhash_dedup, mixing, packing, topk_search, url_filter
 from loglattice.llm.components import connected_components, linked
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -157,6 +157,15 @@ def test_links_after_a_round_without_new_pairs(spark):
     assert links_of(spark, [(0, 1), (0, 2), (0, 3)], {(2, 3)}) == {(2, 3)}
 
 
+def test_links_in_a_crowded_bucket(spark, monkeypatch):
+    """Pairs that share one crowded bucket only, and of which none is ever led by the other's component."""
+    monkeypatch.setattr(components, "CROWDED", 2)
+    similar = {(i, i + 1) for i in range(10, 40, 2)}
+    assert links_of(spark, [(0, i) for i in [1, *range(10, 42)]], similar) >= similar
+    pairs = components._rest(spark.createDataFrame([(k, i, i // 3) for k in (0, 1) for i in range(20)], "key long, id long, component long")).collect()
+    assert sorted((r.a, r.b) for r in pairs) == [(a, b) for a in range(20) for b in range(a + 1, 20) if a // 3 != b // 3]
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://a.com", "http://A.COM/x", "http://com/x", "http://example.com/en/1", "http://www.example.com/en/1?q", "http://x.www.example.com/en/", "http://wwwexample.com/en/", "http://a.net/es/1", "http://a.net/de/", "https://b.net:80/fr/", "http://a.org/#x://b", "http://example.com./en/"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(100 + i, "http://hot.net/fr/x") for i in range(500)], "page_id long, url string").withColumns({"host": F.lit(1), "slot": F.lit(2), "verdict": F.lit(3)})
