@@ -381,3 +381,38 @@ def test_fuzzy_lines(docs, rows, empty, spark):
     df = spark.createDataFrame([(1, "Alpha beta gamma!\n" + long), (2, "alpha  BETA gamma\nquite another line\n" + near), (3, "delta")], "doc_id long, text string")
     kept = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df).collect()}
     assert kept[1] == "Alpha beta gamma!\n" + long and kept[2].startswith("quite another line") and kept[3] == "delta"
+
+
+def edited(rng, line, share, vocabulary):
+    """The line with that share of its words replaced, one at least."""
+    words = line.split()
+    for i in rng.sample(range(len(words)), max(1, int(share * len(words)))):
+        words[i] = rng.choice(vocabulary)
+    return " ".join(words)
+
+
+def test_fuzzy_lines_against_brute_force(spark):
+    """Short and medium lines with changed words: pairs at edit similarity 0.8 in the same class, and none besides."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choices(letters, k=rng.randrange(2, 11))) for _ in range(3000)]
+    lines = []
+    for n in (1, 1, 2, 2, 3, 4, 6, 8, 10, 15, 20, 26, 30, 50) * 8:
+        line = " ".join(rng.choices(vocabulary, k=n))
+        lines += [line, edited(rng, line, rng.choice((0, 0.1, 0.15)), vocabulary)]
+        at = rng.randrange(len(line))
+        lines.append((line[:at] + rng.choice(letters) + line[at + 1 :]).strip())
+    lines = list(dict.fromkeys(lines))
+    pairs = spark.createDataFrame([(i, a, j, b) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and min(len(a), len(b)) >= 0.8 * max(len(a), len(b))], "i long, a string, j long, b string")
+    near = pairs.where("5 * levenshtein(a, b) <= greatest(length(a), length(b))").select("i", "j").collect()
+    root = list(range(len(lines)))
+    for i, j in ((r.i, r.j) for r in near):
+        old, new = max(root[i], root[j]), min(root[i], root[j])
+        root = [new if x == old else x for x in root]
+    rows = line_dedup.lines_by_document(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    dropped = {r.doc_id for r in rows if r.n_kept == 0}
+    want = {i for i, x in enumerate(root) if x != i}
+    print(f"edit similarity 0.8: {len(near)} pairs; {len(want & dropped)} of {len(want)} lines dropped")
+    assert dropped <= want and len(want & dropped) >= 0.97 * len(want) and len(want) > 150
+    short = {i for i in want if len(lines[i]) < line_dedup.SHORT and len(lines[root[i]]) < line_dedup.SHORT}
+    assert short and short <= dropped
