@@ -1,9 +1,14 @@
-"""Connected groups of a graph of links, and the search for links within buckets. DataFrame functions only."""
+"""Connected groups of a graph of links, and the search for links within buckets.
+
+connected_components and linked use DataFrame functions only; links_within searches in Python within tasks.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,3 +96,103 @@ def _rest(members: DataFrame) -> DataFrame:
     # a pair in one block meets once for each other block, and counts where the block is held against itself
     once = (F.col("low") == F.col("high")) | (F.col("block") != F.col("block_b"))
     return dealt.withColumnRenamed("id", "a").join(right, ["key", "low", "high"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & once).select("a", "b").distinct()
+
+
+#: Members of each group that all its blocks hold.
+LEADERS = 4
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows with equal keys, where rows come in order of keys; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch[k].to_numpy(zero_copy_only=False) for k in keys])
+        cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            now = tuple(columns[:, start])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def links_within(members: DataFrame, kind: type, block: int, *args) -> tuple[DataFrame, bool]:
+    """Links (a, b) that connect whatever members of a group are similar; and whether each is a star of one search.
+
+    members: key, id, n_bytes and kind's columns; kind(*columns, *args).like(i, others) gives those of others that i is
+    similar to. Groups of more than block bytes are cut into blocks, all of which hold the group's leaders, so that
+    a large group of copies is connected by work in proportion to its size. What is in other components than most of
+    its group is then held against all of the group's blocks. Within a task, pairs that are connected already are
+    passed over, and only links that connect are rows.
+    """
+    carried = list(kind.columns)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
+        for rows in runs_of(batches, ["key", "block"]):
+            ids, at = np.unique(rows["id"].to_numpy(), return_index=True)
+            if len(ids) > 1:
+                payload = kind(*([x[i] for i in at] for x in (rows[c].to_pylist() for c in carried)), *args)
+                of = np.arange(len(ids))  # the smallest place of the component
+                for i in range(len(ids)):
+                    others = i + 1 + np.flatnonzero(of[i + 1 :] != of[i])
+                    for j in payload.like(i, others) if len(others) else ():
+                        if of[i] != of[j]:
+                            low, high = sorted((of[i], of[j]))
+                            of[of == high] = low
+                linked = np.flatnonzero(of != np.arange(len(ids)))
+                a += ids[of[linked]].tolist()
+                b += ids[linked].tolist()
+            if len(a) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, ["key", "low", "block"]):
+            ids, of, few, left = (rows[c].to_numpy() for c in ("id", "component", "few", "left"))
+            payload = kind(*(rows[c].to_pylist() for c in carried), *args)
+            right = np.flatnonzero(~left)
+            of, found = of.copy(), []
+            for i in np.flatnonzero(left):
+                others = right[(of[right] != of[i]) & (~few[right] | (ids[right] > ids[i]))]
+                for j in payload.like(i, others) if len(others) else ():
+                    if of[i] != of[j]:
+                        found.append(sorted((int(ids[i]), int(ids[j]))))
+                        of[of == of[j]] = of[i]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    size = F.sum("n_bytes").alias("size")
+    first = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"] for k in range(LEADERS)]
+    sizes = members.groupBy("key").agg(size, F.array_distinct(F.array(*first)).alias("leaders")).where(F.col("size") > block)
+    large = written(sizes.select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"), "leaders"), "large-groups")
+    settled = large.isEmpty()
+    if settled:
+        dealt = members.select("key", F.lit(0).alias("block"), "id", *carried)
+    else:
+        cut = members.join(regrouped(large, "key"), "key", "left")
+        own = F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0))
+        everywhere = F.coalesce(F.array_contains("leaders", F.col("id")), F.lit(False))
+        dealt = cut.select("key", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block"), "id", *carried)
+    links = written(dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(search, "a long, b long").distinct(), "links")
+    if settled:
+        return links, True
+    known = connected_components(links).select(F.col("node").alias("id"), "component")
+    placed = members.select("key", "id", "n_bytes").join(regrouped(large.select("key", "blocks"), "key"), "key").join(known, "id", "left").select("key", "id", "n_bytes", "blocks", F.coalesce("component", "id").alias("component"))
+    placed = written(placed, "large-members")
+    parts = placed.groupBy("key", "component").agg(size).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("component", "size").alias("most"), (F.sum("size") - F.max("size")).alias("rest")).where("n > 1")
+    lows = parts.select("key", "most", F.ceil(F.col("rest") / block).cast("int").alias("lows"))
+    few = F.col("component") != F.col("most")
+    still = placed.join(regrouped(lows, "key"), "key").select("key", "id", "component", "blocks", "lows", few.alias("few"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("lows")).cast("int").alias("low"))
+    left = still.where("few").select("key", "id", "component", "few", F.lit(True).alias("left"), "low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = still.select("key", "id", "component", "few", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("lows") - 1)).alias("low"), "block")
+    meet = left.unionByName(right).join(members.select("key", "id", *carried), ["key", "id"])
+    more = written(meet.repartition("key", "low", "block").sortWithinPartitions("key", "low", "block").mapInArrow(across, "a long, b long").distinct(), "links")
+    return links.unionByName(more), False
