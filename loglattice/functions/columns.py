@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, SparkSession
@@ -11,10 +13,32 @@ from pyspark.sql import functions as F
 C = Column | str
 
 
+#: White space by Unicode.
+SPACE = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
 def col(c: C) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is evaluated once, however often then uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def stripped(text: C) -> Column:
+    """text without white space at its ends."""
+    return F.regexp_replace(col(text), rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
+def evaluates(value: Column, hashable: bool = True) -> Column:
+    """Whether value can be evaluated, be it to null, without an error. Values with maps in them are not hashable.
+
+    Of a date and days, try_add gives null for whatever error comes up. Days are 0, but take the value to tell.
+    """
+    return F.try_add(F.lit(datetime.date(2000, 1, 1)), F.pmod(F.hash(value if hashable else F.to_json(F.struct(value.alias("v")))), F.lit(1))).isNotNull()
+
+
 # -- regular expressions ------------------------------------------------------------------------------------------
 
 
@@ -55,10 +79,12 @@ def dump_json(value: C) -> Column:
 
 
 def csv_fields(line: C, sep: str = ",") -> Column:
-    """The fields of a line, quotes taken off; an empty line has none."""
+    """The fields of a line, quotes taken off; an empty line has none. A quote that isn't closed holds up to the end."""
     s = re.escape(sep)
-    raw = F.regexp_extract_all(F.concat(F.lit(sep), col(line)), F.lit(rf'{s}("(?:[^"]|"")*"|[^{s}]*)'), F.lit(1))
-    fields = F.transform(raw, lambda x: F.when(x.startswith('"') & (F.length(x) > 1), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), col(line)), F.lit(rf'{s}("(?:[^"]|"")*+(?:"[^{s}]*|\z)|[^{s}]*)'), F.lit(1))
+    inner = lambda x: F.regexp_extract(x, r'(?s)\A"((?:[^"]|"")*+)"?(.*)\z', 1)
+    after = lambda x: F.regexp_extract(x, r'(?s)\A"((?:[^"]|"")*+)"?(.*)\z', 2)
+    fields = F.transform(raw, lambda x: F.when(x.startswith('"'), F.concat(F.replace(inner(x), F.lit('""'), F.lit('"')), after(x))).otherwise(x))
     return F.when(col(line) == "", F.array().cast("array<string>")).otherwise(fields)
 
 
@@ -94,7 +120,7 @@ def words(text: C, sep: str = "") -> Column:
     """Fields between sep, a literal; between runs of white space where sep is empty."""
     if sep:
         return F.split(col(text), re.escape(sep))
-    return F.filter(F.split(F.trim(col(text)), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(col(text), rf"{SPACE}+"), lambda x: x != "")
 
 
 def cols(text: C, *specs: int | str, sep: str = "", outsep: str = " ") -> Column:
@@ -149,16 +175,17 @@ def count_of(text: C, part: str) -> Column:
 
 def truthy(value: C, kind: str) -> Column:
     """A filter's view of a value of the given Spark type: null, False, an empty text and integer 0 don't pass."""
+    return F.coalesce(passes(value, kind), F.lit(False))
+
+
+def passes(value: C, kind: str) -> Column:
+    """truthy(), but null for null: the same in where(), and Spark can hand it on to the files."""
     v = col(value)
     if kind == "boolean":
-        ok = v
-    elif kind == "string":
-        ok = v != ""
-    elif kind in ("tinyint", "smallint", "int", "bigint"):
-        ok = v != 0
-    else:
-        ok = v.isNotNull()
-    return F.coalesce(ok, F.lit(False))
+        return v
+    if kind == "string":
+        return v != ""
+    return v != 0 if kind in ("tinyint", "smallint", "int", "bigint") else v.isNotNull()
 
 
 # -- time ---------------------------------------------------------------------------------------------------------
@@ -221,19 +248,41 @@ GUESSES = (
 )
 
 
+# What Java's pattern letters match.
+SHAPES = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}", "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "SSSSSS": r"\d{6}", "XXX": r"(?:Z|[+-]\d{2}:\d{2})", "xx": r"[+-]\d{4}"}
+
+
+def shape_of(pattern: str) -> str:
+    """An expression for the texts that a Java date pattern may fit: a format is tried only on these."""
+    out = []
+    for m in re.finditer(r"'([^']*)'|([A-Za-z])\2*|\[|\]|.", pattern):
+        part = m[0]
+        out.append(re.escape(m[1]) if m[1] is not None else "(?:" if part == "[" else ")?" if part == "]" else SHAPES[part] if part in SHAPES else re.escape(part))
+    return rf"\A{''.join(out)}\z"
+
+
 def guess_ts(text: C) -> Column:
     """Epoch seconds of a text in one of many formats, in UTC where it names no zone; the current year where it names none."""
-    t = F.trim(col(text))
+    return bound(_cleaned(stripped(text)), lambda t: bound(_dated(t), lambda dated: _guessed(t, dated)))
+
+
+def _cleaned(t: Column) -> Column:
     t = F.regexp_replace(t, r"^\[(.*)\]$", "$1")
     t = F.regexp_replace(t, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
     t = F.regexp_replace(t, r"(\d:\d\d:\d\d),(\d)", "$1.$2")
     t = F.regexp_replace(t, r"(\.\d{6})\d+", "$1")
     t = F.regexp_replace(t, r"(:\d\d\.\d+)", "$1000000")
     t = F.regexp_replace(t, r"(\d\d[:.]\d\d[:.]\d\d\.\d{6})\d*", "$1")
-    t = F.regexp_replace(t, r"\s+", " ")
-    dated = F.when(t.rlike(r"^[A-Za-z]{3} \d{1,2} \d\d:\d\d:\d\d$"), F.concat(F.year(F.current_date()).cast("string"), F.lit(" "), t)).otherwise(t)
+    return F.regexp_replace(t, r"\s+", " ")
+
+
+def _dated(t: Column) -> Column:
+    return F.when(t.rlike(r"^[A-Za-z]{3} \d{1,2} \d\d:\d\d:\d\d$"), F.concat(F.year(F.current_date()).cast("string"), F.lit(" "), t)).otherwise(t)
+
+
+def _guessed(t: Column, dated: Column) -> Column:
     seconds = F.when(t.rlike(r"^\d{9,10}$"), t.try_cast("bigint")).when(t.rlike(r"^\d{13}$"), F.floor(t.try_cast("bigint") / 1000)).when(t.rlike(r"^\d{10}\.\d+$"), F.floor(t.try_cast("double")))
-    return F.coalesce(seconds, *[_epoch(dated, p) for p in GUESSES])
+    return F.coalesce(seconds, *[F.when(dated.rlike(shape_of(p)), _epoch(dated, p)) for p in GUESSES])
 
 
 # Seconds of the units of compact durations, and of durations in words.
@@ -277,11 +326,11 @@ def get_path(path: str, data: C, default: str | None = None) -> Column:
 
 
 def _doubles(values: C) -> Column:
-    return F.transform(col(values), lambda x: x.cast("double"))
+    return F.transform(col(values), lambda x: x.try_cast("double"))
 
 
 def list_sum(values: C) -> Column:
-    """The sum as a double; 0 for an empty list."""
+    """The sum as a double; 0 for an empty list, null where an item is no number."""
     return F.aggregate(_doubles(values), F.lit(0.0), lambda s, x: s + x)
 
 
@@ -291,20 +340,24 @@ def list_avg(values: C) -> Column:
 
 
 def list_percentile(values: C, p: float) -> Column:
-    """The p-th percentile, p from 0 to 100, by linear interpolation; null for an empty list or another p."""
+    """The p-th percentile, p from 0 to 100, by linear interpolation; null for an empty list, another p, or an item that is no number."""
     if not 0 <= p <= 100:
         return F.lit(None).cast("double")
-    ordered = F.array_sort(_doubles(values))
-    at = (F.size(ordered) - 1) * (p / 100.0)
-    low = F.floor(at).cast("int")
-    a, b = F.get(ordered, low), F.get(ordered, F.ceil(at).cast("int"))
-    return F.when(F.size(ordered) > 0, a + (b - a) * (at - low))
+
+    def of(ordered: Column) -> Column:
+        at = (F.size(ordered) - 1) * (p / 100.0)
+        low = F.floor(at).cast("int")
+        a, b = F.get(ordered, low), F.get(ordered, F.ceil(at).cast("int"))
+        return F.when((F.size(ordered) > 0) & ~F.exists(ordered, lambda x: x.isNull()), a + (b - a) * (at - low))
+
+    return bound(F.array_sort(_doubles(values)), of)
 
 
 def round_half_up(x: C, digits: int = 0) -> Column:
-    """Rounds the binary value, half away from zero."""
-    scaled = col(x).cast("double") * float(10**digits)
-    return F.signum(scaled) * F.floor(F.abs(scaled) + 0.5) / float(10**digits)
+    """Rounds the binary value, half away from zero; what has no fraction at that digit is left as it is."""
+    value = col(x).cast("double")
+    scaled = value * float(10**digits)
+    return F.when(F.abs(scaled) >= float(1 << 52), value).otherwise(F.signum(scaled) * F.floor(F.abs(scaled) + 0.5) / float(10**digits))
 
 
 def power(base: C, exponent: C | float) -> Column:

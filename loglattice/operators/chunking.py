@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import stripped
 from .ordering import running_count
 
 
@@ -23,14 +24,14 @@ def chunk_lines(df: DataFrame, n: int, order: str = "LINENUM", line: str = "line
 
 def chunk_start(df: DataFrame, pattern: str, order: str = "LINENUM", line: str = "line", by: list[str] | None = None) -> DataFrame:
     """A chunk starts at each line that the pattern matches; lines before the first are a chunk of their own."""
-    numbered = running_count(df, "chunk", order, by, when=F.col(line).rlike(pattern)) if not by else df.withColumn("chunk", F.sum(F.col(line).rlike(pattern).cast("long")).over(Window.partitionBy(*by).orderBy(order)))
+    numbered = running_count(df, "chunk", order, by, when=F.col(line).rlike(pattern))
     return _joined(numbered, "chunk", by or [], order, line)
 
 
 def chunk_delimiter(df: DataFrame, delimiter: str, order: str = "LINENUM", line: str = "line", by: list[str] | None = None) -> DataFrame:
     """Chunks lie between lines equal to the delimiter but for white space around; those lines and empty chunks go."""
-    ends = F.trim(F.col(line)) == delimiter.strip()
-    numbered = running_count(df, "chunk", order, by, when=ends) if not by else df.withColumn("chunk", F.sum(ends.cast("long")).over(Window.partitionBy(*by).orderBy(order)))
+    ends = stripped(line) == delimiter.strip()
+    numbered = running_count(df, "chunk", order, by, when=ends)
     return _joined(numbered.where(~ends), "chunk", by or [], order, line)
 
 

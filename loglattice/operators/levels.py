@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_of
+from ..functions.columns import bound, first_of
 from .ordering import running_count
 
 # The names by which timestamps, levels and messages go, in order of precedence.
@@ -33,11 +34,22 @@ def family_regex(names: list[str]) -> str:
 
 def level_from_text(text: Column | str) -> Column:
     """The level that a text names, by family; null without one."""
-    lower = F.lower(F.col(text) if isinstance(text, str) else text)
-    found = F.lit(None).cast("string")
-    for level, names in reversed(FAMILIES.items()):
-        found = F.when(lower.rlike(family_regex(names)), level).otherwise(found)
-    return found
+
+
+    def named(lower: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for level, names in reversed(FAMILIES.items()):
+            # plain searches first: the expression is only tried on texts that hold one of the names
+            holds = reduce(lambda a, b: a | b, [lower.contains(n) for n in shortest(names)])
+            found = F.when(holds & lower.rlike(family_regex(names)), level).otherwise(found)
+        return found
+
+    return bound(F.lower(F.col(text) if isinstance(text, str) else text), named)
+
+
+def shortest(names: list[str]) -> list[str]:
+    """Names that contain no other one."""
+    return [n for n in names if not any(m != n and m in n for m in names)]
 
 
 def level_of(df: DataFrame, level: str | None = None, text: str | None = None) -> Column:
@@ -57,13 +69,24 @@ def filter_levels(df: DataFrame, include: list[str] | None = None, exclude: list
     return df
 
 
-def level_map(df: DataFrame, order: str, width: int = 80, level: str | None = None, timestamp: str | None = None) -> DataFrame:
-    """row, timestamp, map: the first letters of levels in order, width to a row, `.` for none; with the first timestamp of the row."""
-    mark = F.coalesce(F.nullif(level_of(df, level).substr(1, 1), F.lit("")), F.lit("."))
-    ts = F.col(timestamp).cast("string") if timestamp else first_of(TIMESTAMP_KEYS, df.columns)
+#: A timestamp within a text.
+TIMESTAMP = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"
+#: Rows of the map that carry the last timestamp within one window.
+CARRY = 4096
+
+
+def level_map(df: DataFrame, order: str, width: int = 80, level: str | None = None, timestamp: str | None = None, text: str | None = None) -> DataFrame:
+    """row, timestamp, map: the first letters of levels in order, width to a row, `.` for none; with the timestamp last
+    seen when the row starts, of the column named, of the first that goes by such a name, or out of a text."""
+    mark = F.coalesce(F.nullif(level_of(df, level, text).substr(1, 1), F.lit("")), F.lit("."))
+    ts = F.col(timestamp).cast("string") if timestamp else F.regexp_substr(text, F.lit(TIMESTAMP)) if text else first_of(TIMESTAMP_KEYS, df.columns)
     rows = running_count(df.select(F.col(order), mark.alias("mark"), ts.alias("ts")), "n", order)
     rows = rows.withColumn("row", F.floor((F.col("n") - 1) / width))
     marks = F.array_sort(F.collect_list(F.struct("n", "mark")))
-    return rows.groupBy("row").agg(F.min_by("ts", "n").alias("timestamp"), F.array_join(F.transform(marks, lambda x: x["mark"]), "").alias("map"))
-
-
+    own = F.min_by(F.struct("ts"), "n")["ts"].alias("own")
+    made = rows.groupBy("row").agg(own, F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("n"))).alias("last"), F.array_join(F.transform(marks, lambda x: x["mark"]), "").alias("map")).withColumn("part", F.floor(F.col("row") / CARRY))
+    ends = made.groupBy("part").agg(F.max_by("last", F.when(F.col("last").isNotNull(), F.col("row"))).alias("end"))
+    before = lambda name, w: F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(F.col("part").alias("of"), before("end", Window.orderBy("part")).alias("carried"))
+    within = before("last", Window.partitionBy("part").orderBy("row"))
+    return made.withColumn("within", within).join(carried, F.col("part") == F.col("of")).select("row", F.coalesce("own", "within", "carried").alias("timestamp"), "map")

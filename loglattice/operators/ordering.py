@@ -7,11 +7,13 @@ each with a copy of the rows that precede it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of the order's range; rows of a block of trailing frames.
-SLICES, BLOCK = 256, 65_536
+#: Slices of the order's range at most, and rows of one, about; rows of a block of trailing frames.
+SLICES, SLICE_ROWS, BLOCK = 4096, 500_000, 65_536
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
@@ -22,14 +24,29 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("inside", inside).join(before, ["FILENAME", "block"]).select("line", "FILENAME", (F.col("before") + F.col("inside")).alias("LINENUM"))
 
 
-def running_total(df: DataFrame, value: Column, name: str, order: str, by: list[str] | None = None, slices: int = SLICES) -> DataFrame:
-    """df with the running sum of value within by, in order of a numeric or time column whose values differ within by."""
+def place_among(key: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts are under key, by looking at a few of them: first at every nth, then between two."""
+    if not cuts:
+        return F.lit(0)
+    step = math.ceil(len(cuts) ** 0.5)
+    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    under = lambda some: F.size(F.filter(some, lambda c: c < key))
+    array = lambda some: F.array(*[F.lit(float(c)) for c in some])
+    part = under(array([p[-1] for p in parts]))
+    fine = F.coalesce(F.get(F.array(*[array(p) for p in parts]), part), F.array().cast("array<double>"))
+    return F.least(F.lit(len(cuts)), part * step + under(fine)) if len(parts) > 1 else under(array(cuts))
+
+
+def running_total(df: DataFrame, value: Column, name: str, order: str, by: list[str] | None = None, slices: int | None = None) -> DataFrame:
+    """df with the running sum of value within by, in order of a numeric or time column whose values differ within by.
+
+    There are as many slices as the number of rows asks for, unless slices says so.
+    """
     by = by or []
     key = F.col(order).cast("double") if dict(df.dtypes)[order] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(F.col(order).cast("timestamp")).cast("double")
-    cuts = df.select(F.percentile_approx(key, [i / slices for i in range(1, slices)], 10 * slices)).first()[0] or []
-    cuts = sorted(set(cuts))
-    slice_of = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < key)) if cuts else F.lit(0)
-    rows = df.withColumn("__slice", slice_of).withColumn("__value", value)
+    slices = slices or min(SLICES, math.ceil(df.count() / SLICE_ROWS))
+    cuts = (df.select(F.percentile_approx(key, [i / slices for i in range(1, slices)], 10 * slices)).first()[0] or []) if slices > 1 else []
+    rows = df.withColumn("__slice", place_among(key, sorted(set(cuts)))).withColumn("__value", value)
     sums = rows.groupBy(*by, "__slice").agg(F.sum("__value").alias("__sum"))
     before = sums.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__slice").alias("__at"), (F.coalesce(F.sum("__sum").over(Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
     inside = F.coalesce(F.sum("__value").over(Window.partitionBy(*by, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
@@ -55,13 +72,14 @@ def trailing(df: DataFrame, n: int, order: str, columns: dict[str, callable], by
         raise ValueError("a window has one row at least")
     by = by or []
     block = max(block, n)
-    rows = running_count(df, "__row", order, by).withColumn("__block", F.floor((F.col("__row") - 1) / block)).withColumn("__own", F.lit(True))
-    ahead = rows.where(F.pmod(F.col("__row") - 1, F.lit(block)) >= block - (n - 1)).withColumn("__block", F.col("__block") + 1).withColumn("__own", F.lit(False))
-    both = rows.unionByName(ahead)
+    rows = running_count(df, "__row", order, by)
+    own = F.floor((F.col("__row") - 1) / block)
+    ahead = F.pmod(F.col("__row") - 1, F.lit(block)) >= block - (n - 1)
+    both = rows.withColumn("__at", own).withColumn("__block", F.explode(F.when(ahead, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("__own", F.col("__block") == F.col("__at"))
     window = Window.partitionBy(*by, "__block").orderBy("__row").rowsBetween(1 - n, 0)
     for name, make in columns.items():
         both = both.withColumn(name, make(window))
-    return both.where("__own").drop("__row", "__block", "__own")
+    return both.where("__own").drop("__row", "__at", "__block", "__own")
 
 
 def window_values(column: str) -> callable:

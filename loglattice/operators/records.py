@@ -11,6 +11,10 @@ from ..functions.patterns import template
 from .levels import LEVEL_KEYS, MESSAGE_KEYS, TIMESTAMP_KEYS
 
 
+#: Keys of a map that may become columns.
+MOST_KEYS = 10_000
+
+
 def extract_vars(df: DataFrame, text: str, line: str = "line") -> DataFrame:
     """df with a column for each field of the template, from the first match in line; null where it doesn't match, or a
     number is too large: then the record goes on as it is, with its line."""
@@ -57,7 +61,9 @@ def flatten(df: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
                 wide = df.agg(F.max(F.size(column))).first()[0] or 0
             return [x for i in range(wide) for x in leaves(f"{path}.{i}", F.get(column, F.lit(i)), kind.elementType)]
         if isinstance(kind, MapType):
-            names = [r[0] for r in df.select(F.explode(F.map_keys(column)).alias("k")).distinct().orderBy("k").collect()]
+            names = [r[0] for r in df.select(F.explode(F.map_keys(column)).alias("k")).distinct().orderBy("k").limit(MOST_KEYS + 1).collect()]
+            if len(names) > MOST_KEYS:
+                raise ValueError(f"more than {MOST_KEYS} different keys in {path}: they can't be columns")
             return [x for n in names for x in leaves(f"{path}.{n}", column.getItem(n), kind.valueType)]
         return [(path, column)]
 
@@ -78,10 +84,10 @@ def lookup(df: DataFrame, table: dict[str, str], column: str, name: str, default
     return df.withColumn(name, found if default is None else F.coalesce(found, F.lit(default)))
 
 
-def summaries(body: DataFrame, begin: DataFrame | None = None, end: DataFrame | None = None, order: str | None = None) -> DataFrame:
-    """Header rows, records, footer rows, with `part` 0, 1, 2 to sort by before order."""
+def summaries(body: DataFrame, begin: DataFrame | None = None, end: DataFrame | None = None, order: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Header rows, records, footer rows, with `part` 0, 1, 2 to sort by after by and before order."""
     parts = [x.withColumn("part", F.lit(i)) for i, x in enumerate((begin, body, end)) if x is not None]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x, allowMissingColumns=True)
-    return out.orderBy("part", order) if order else out
+    return out.orderBy(*(by or []), "part", order) if order else out

@@ -5,12 +5,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import truthy
+from ..functions.columns import evaluates, passes
 from ..operators import chunking, levels, ordering, records
 from ..sources import readers, writers
 
@@ -19,21 +20,53 @@ def expression(e: Column | str) -> Column:
     return F.expr(e) if isinstance(e, str) else e
 
 
+#: Header rows, at most.
+MOST_HEADER = 1000
+
+#: What may raise an error in an expression as Spark shows it once it is optimised: functions and casts, and arithmetic.
+MAY_FAIL = re.compile(r"[A-Za-z_]\w*\((?<!IN\()(?<!isnull\()(?<!isnotnull\()| [-+*/%] ")
+
+
+def may_fail(df: DataFrame, e: Column) -> bool:
+    """Whether e holds more than columns, constants and comparisons of like types, which can't raise errors."""
+    shown = df.select(e.alias("e"))._jdf.queryExecution().optimizedPlan().toString().split("\n", 1)[0]
+    return not shown.startswith("Project") or bool(MAY_FAIL.search(shown))
+
+
 @dataclass(frozen=True)
 class Pipeline:
-    """frame: the records so far. order: the column that orders them; by: columns within which order holds, a file's name by default."""
+    """frame: the records so far. order: the column that orders them; by: columns within which order holds, a file's name by default.
+
+    errors: records for which a step's expression raises an error are dropped (`skip`), or end the run (`fail`). What
+    can't raise one is left to Spark as it is, so that filters reach the files.
+    """
 
     frame: DataFrame
     order: str | None = None
     by: tuple[str, ...] = ()
     header: DataFrame | None = None
     footer: DataFrame | None = None
+    errors: str = "skip"
+    seen: tuple[Observation, ...] = ()
+    common_only: bool = False
 
     @classmethod
-    def read(cls, spark: SparkSession, paths: str | list[str], fmt: str | None = None, **options) -> Pipeline:
-        df = readers.read(spark, paths, fmt, **options)
-        numbered = "LINENUM" in df.columns
-        return cls(df, "LINENUM" if numbered else None, ("FILENAME",) if numbered else ())
+    def read(cls, spark: SparkSession, paths: str | list[str], fmt: str | None = None, errors: str = "skip", **options) -> Pipeline:
+        """errors: as for readers.read and for steps; with `keep`, rejected lines stay and steps drop what fails."""
+        seen = Observation()
+        df = readers.read(spark, paths, fmt, seen=seen, errors=errors, **options)
+        numbered, counted = "LINENUM" in df.columns, readers.format_of([paths] if isinstance(paths, str) else paths, fmt) not in ("parquet", "orc")
+        return cls(df, "LINENUM" if numbered else None, ("FILENAME",) if numbered else (), errors="fail" if errors == "fail" else "skip", seen=(seen,) if counted else ())
+
+    def _without_failures(self, e: Column) -> Pipeline:
+        """The pipeline less the records for which e raises an error. What is counted on the way keeps Spark from
+        evaluating e before those are gone."""
+        if self.errors == "fail" or not may_fail(self.frame, e):
+            return self
+        failed = Observation()
+        hashable = not re.search("map<|variant", self.frame.select(e.alias("e")).dtypes[0][1])
+        frame = self.frame.withColumn("__ok", evaluates(e, hashable)).observe(failed, F.count_if(~F.col("__ok")).alias("errors"))
+        return replace(self, frame=frame.where("__ok").drop("__ok"), seen=(*self.seen, failed))
 
     def _with(self, frame: DataFrame) -> Pipeline:
         return replace(self, frame=frame)
@@ -44,27 +77,37 @@ class Pipeline:
         return self.order
 
     def filter(self, condition: Column | str) -> Pipeline:
-        """Rows whose value passes as true; what can't be evaluated is null and goes."""
+        """Rows whose value passes as true; null doesn't."""
         kind = self.frame.select(expression(condition).alias("c")).dtypes[0][1]
-        return self._with(self.frame.where(truthy(expression(condition), kind)))
+        value = expression(condition)
+        p = self._without_failures(value)
+        return p._with(p.frame.where(passes(value, kind)))
 
     def eval(self, value: Column | str) -> Pipeline:
         """The value becomes the record's line; rows where it is null go."""
         keep = [c for c in (self.order, *self.by) if c and c != "line"]
-        made = self.frame.withColumn("__line", expression(value).cast("string"))
-        return self._with(made.where("__line is not null").select(*keep, F.col("__line").alias("line")))
+        line = expression(value).cast("string")
+        p = self._without_failures(line)
+        made = p.frame.withColumn("__line", line)
+        return p._with(made.where("__line is not null").select(*keep, F.col("__line").alias("line")))
 
     def derive(self, *scratch: str, **columns: Column | str | None) -> Pipeline:
         """New or changed columns, one after another; None deletes one; names that start with _ are not kept."""
-        df = self.frame
+        p = self
         for name, value in columns.items():
-            df = df.drop(name) if value is None else df.withColumn(name, expression(value))
-        return self._with(df.drop(*[c for c in columns if c.startswith("_")], *scratch))
+            if value is None:
+                p = p._with(p.frame.drop(name))
+            else:
+                p = p._without_failures(expression(value))
+                p = p._with(p.frame.withColumn(name, expression(value)))
+        return p._with(p.frame.drop(*[c for c in columns if c.startswith("_")], *scratch))
 
     def select(self, **columns: Column | str) -> Pipeline:
         """Records of new columns, from lines or other columns."""
-        keep = [c for c in (self.order, *self.by) if c and c not in columns]
-        return self._with(self.frame.select(*keep, *[expression(v).alias(k) for k, v in columns.items()]))
+        keep, p = [c for c in (self.order, *self.by) if c and c not in columns], self
+        for value in columns.values():
+            p = p._without_failures(expression(value))
+        return p._with(p.frame.select(*keep, *[expression(v).alias(k) for k, v in columns.items()]))
 
     def extract_vars(self, template: str, line: str = "line") -> Pipeline:
         return self._with(records.extract_vars(self.frame, template, line))
@@ -74,6 +117,8 @@ class Pipeline:
         return self._with(levels.filter_levels(self.frame, include, exclude, level, text))
 
     def level_map(self, width: int = 80, **options) -> DataFrame:
+        if self.frame.columns == ["line"]:
+            raise ValueError("a level map needs records with a level")
         return levels.level_map(self.frame, self._ordered(), width, **options)
 
     def chunk(self, lines: int | None = None, start: str | None = None, delimiter: str | None = None) -> Pipeline:
@@ -97,14 +142,17 @@ class Pipeline:
         return self._with(records.emit(self.frame, expression(emissions), primary=primary))
 
     def skip(self, condition: Column | str) -> Pipeline:
-        return self._with(self.frame.where(~F.coalesce(expression(condition), F.lit(False))))
+        value = expression(condition)
+        p = self._without_failures(value)
+        return p._with(p.frame.where(~F.coalesce(value, F.lit(False))))
 
     def exit(self, condition: Column | str, message: Column | str | None = None) -> Pipeline:
         """Nothing after the first record where condition holds, within each file."""
         return self._with(ordering.until_exit(self.frame, expression(condition), self._ordered(), list(self.by), None if message is None else expression(message)))
 
-    def begin(self, frame: DataFrame) -> Pipeline:
-        return replace(self, header=frame)
+    def begin(self, frame: DataFrame, each: bool = False) -> Pipeline:
+        """Header rows; each: before the records of each of by, that is of each file."""
+        return replace(self, header=self.frame.select(*self.by).distinct().crossJoin(F.broadcast(frame.limit(MOST_HEADER))) if each and self.by else frame)
 
     def end(self, **aggregates: Column | str) -> Pipeline:
         """A footer of aggregates over the records that reach this step; one for each of by, that is each file."""
@@ -118,7 +166,7 @@ class Pipeline:
         return self._with(records.remove_keys(self.frame, names))
 
     def common(self, more: list[str] | None = None) -> Pipeline:
-        return self._with(records.common_keys(self.frame, more))
+        return replace(self, frame=records.common_keys(self.frame, more), common_only=True)
 
     def stats(self) -> DataFrame:
         return records.stats(self.frame)
@@ -128,8 +176,14 @@ class Pipeline:
         if self.header is None and self.footer is None:
             return self.frame
         order = self.order if self.order in self.frame.columns else None
-        return records.summaries(self.frame, self.header, self.footer, order)
+        return records.summaries(self.frame, self.header, self.footer, order, [c for c in self.by if c in self.frame.columns and all(c in x.columns for x in (self.header, self.footer) if x is not None)])
 
-    def write(self, path: str, fmt: str | None = None, mode: str = "error") -> writers.RunResult:
+    def write(self, path: str, fmt: str | None = None, mode: str = "error", colours: bool = False, code: int | None = None) -> writers.RunResult:
+        """Writes the result and tells how many records were read, wrong and written. code: an exit code of one's own."""
         fmt = fmt or ("line" if self.frame.columns == ["line"] else "logfmt")
-        return writers.write(self.result(), path, fmt, mode)
+        if self.common_only and fmt in ("csv", "tsv"):
+            raise ValueError("common keys have no fixed columns, as csv and tsv need: name them by keys()")
+        done = writers.write(self.result(), path, fmt, mode, colours=colours)
+        counts = [x.get for x in self.seen]
+        read = next((c["read"] for c in counts if "read" in c), None)
+        return replace(done, errors=sum(c["errors"] for c in counts), code=code, read=read)

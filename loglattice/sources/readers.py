@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from pathlib import PurePath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.columns import bound, stripped, words
 from ..operators.ordering import number_lines
 
 FORMATS = ("line", "jsonl", "csv", "tsv", "logfmt", "syslog", "combined", "fields", "parquet", "orc")
@@ -20,7 +23,10 @@ RFC3164 = r"^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+([^:\[\s]+)(?:\[(\d
 EXTENDED = r'^(\S+)\s+(\S+)\s+-\s+(\S+)\s+(\d+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+"([^"]*)"\s+(\d+)\s+(\S+)\s+"([^"]*)"\s+"([^"]*)"(?:\s+(.*))?$'
 COMBINED = r'^(\S+)\s+-\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d+)\s+(\S+)\s+"([^"]*)"\s+"([^"]*)"$'
 COMMON = r'^(\S+)\s+-\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d+)\s+(\S+)$'
-PAIR = r'(?:\A|(?<=\s))([^\s=]+)=("(?:[^"\\]|\\.|"")*"|[^\s"]\S*|(?=\s|\z))'
+#: A logfmt pair: a value is quoted, up to the end where the quote isn't closed, or goes up to a blank.
+PAIR = r'[ \t]*([^ \t=]+)=("(?:[^"\\]|\\(?s:.)|"")*+(?:"|\\?\z)|[^ \t"][^ \t]*|)'
+#: Keys that a file may have before columns are made of them.
+MOST_KEYS = 10_000
 
 
 def format_of(paths: Sequence[str], fmt: str | None = None) -> str:
@@ -37,39 +43,55 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], keep_blank: bool
     text = spark.read.text([paths] if isinstance(paths, str) else list(paths))
     placed = text.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("FILENAME"), F.col("_metadata.file_block_start").alias("block")).withColumn("place", F.monotonically_increasing_id())
     lines = number_lines(placed)
-    return lines if keep_blank else lines.where(F.trim("line") != "")
+    return lines if keep_blank else lines.where(stripped("line") != "")
 
 
-def read(spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None, **options) -> DataFrame:
-    """Records of files. errors: `skip`, `keep` (rejected lines in a column `rejected`) or `fail`; keep_blank: blank lines, which chunks need."""
+def read(spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None, seen: Observation | None = None, **options) -> DataFrame:
+    """Records of files. errors: `skip`, `keep` (rejected lines in a column `rejected`) or `fail`; keep_blank: blank lines, which chunks need.
+
+    multiline=True lets quoted CSV and TSV fields hold newlines; each file is then one task. seen counts `read` and
+    `errors` once the records are written or collected.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     kind, errors, keep_blank = format_of(paths, fmt), options.pop("errors", "skip"), options.pop("keep_blank", False)
     if kind in ("parquet", "orc"):
         return spark.read.format(kind).load(paths)
     if kind in ("csv", "tsv"):
-        sep = "\t" if kind == "tsv" else ","
-        mode = {"skip": "DROPMALFORMED", "fail": "FAILFAST", "keep": "PERMISSIVE"}[errors]
-        return spark.read.options(header=True, multiLine=True, escape='"', sep=sep, mode=mode, enforceSchema=False, **options).csv(paths)
+        options = {"header": True, "multiLine": options.pop("multiline", False), "escape": '"', "sep": "\t" if kind == "tsv" else ",", "enforceSchema": False, **options}
+        columns = spark.read.options(**options).csv(paths).schema
+        return _told_apart(spark.read.options(**options).schema(StructType([*columns, StructField("rejected", StringType())])), "csv", paths, errors, seen)
     if kind == "jsonl":
-        mode = {"skip": "DROPMALFORMED", "fail": "FAILFAST", "keep": "PERMISSIVE"}[errors]
-        return spark.read.options(mode=mode, columnNameOfCorruptRecord="rejected", **options).json(paths)
-    return parse(read_lines(spark, paths, keep_blank), kind, errors=errors)
+        columns = [f for f in spark.read.options(columnNameOfCorruptRecord="rejected", **options).json(paths).schema if f.name != "rejected"]
+        return _told_apart(spark.read.options(**options).schema(StructType([*columns, StructField("rejected", StringType())])), "json", paths, errors, seen)
+    return parse(read_lines(spark, paths, keep_blank), kind, errors=errors, seen=seen)
+
+
+def _told_apart(reader: DataFrameReader, kind: str, paths: list[str], errors: str, seen: Observation | None) -> DataFrame:
+    df = reader.options(mode="FAILFAST" if errors == "fail" else "PERMISSIVE", columnNameOfCorruptRecord="rejected").format(kind).load(paths)
+    # Spark wants another column than this one read along; every hash is in range
+    first = [F.hash(f"`{c}`") >= -(1 << 31) for c in df.columns[:1] if c != "rejected"]
+    return _kept(df, reduce(lambda a, b: a & b, first, F.col("rejected").isNotNull()), errors, seen)
+
+
+def _kept(df: DataFrame, bad: Column, errors: str, seen: Observation | None) -> DataFrame:
+    """df without the rejected records, unless they are to be kept; with what seen counts."""
+    if seen is not None:
+        df = df.observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(bad).alias("errors"))
+    return df if errors == "keep" else df.where(~bad).drop("rejected")
 
 
-def parse(df: DataFrame, kind: str, line: str = "line", errors: str = "skip", width: int | None = None) -> DataFrame:
+def parse(df: DataFrame, kind: str, line: str = "line", errors: str = "skip", width: int | None = None, seen: Observation | None = None) -> DataFrame:
     """df's lines in a line format as columns: rejected lines skipped, or kept with a column `rejected`, or raised."""
-    if kind == "line":
-        return df
-    if kind == "fields":
-        return _fields(df, line, width)
-    made = {"logfmt": logfmt, "syslog": syslog, "combined": access_log, "jsonl": json_map}[kind](F.trim(line))
-    parsed = df.withColumn("__record", made)
+    if kind in ("line", "fields"):
+        df = df if seen is None else df.observe(seen, F.count(F.lit(1)).alias("read"), F.lit(0).alias("errors"))
+        return df if kind == "line" else _fields(df, line, width)
+    made = {"logfmt": logfmt, "syslog": syslog, "combined": access_log, "jsonl": json_map}[kind]
+    parsed = df.withColumn("__record", bound(stripped(line), made))
     bad = F.col("__record").isNull()
     if errors == "fail":
         parsed = parsed.withColumn("__record", F.when(bad, F.raise_error(F.concat(F.lit(f"not {kind}: "), F.col(line)))).otherwise(F.col("__record")))
-    elif errors == "skip":
-        parsed = parsed.where(~bad)
-    else:
+    parsed = _kept(parsed, bad, errors, seen)
+    if errors == "keep":
         parsed = parsed.withColumn("rejected", F.when(bad, F.col(line)))
     if kind in ("logfmt", "jsonl"):
         return parsed.withColumnRenamed("__record", "record")
@@ -84,18 +106,30 @@ def json_map(line: Column) -> Column:
 
 def logfmt(line: Column) -> Column:
     """A map of the pairs; null where a word has no `=`. Quoted values may hold escapes; the last of equal keys counts."""
-    rest = F.trim(F.regexp_replace(line, PAIR, ""))
-    names, values = F.regexp_extract_all(line, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(line, F.lit(PAIR), F.lit(2))
-    pairs = F.transform(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x: F.struct(x["k"].alias("k"), _unquoted(x["v"]).alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda y: y["k"] == x["k"]))
-    return F.when((rest == "") & (F.size(names) > 0), F.map_from_entries(last))
+
+    def record(pairs: Column) -> Column:
+        names = F.transform(pairs, lambda x: F.substring_index(F.ltrim(x, F.lit(" \t")), "=", 1))
+        values = F.transform(pairs, lambda x: _unquoted(x.substr(F.instr(x, "=") + 1, F.length(x))))
+        return bound(F.struct(names.alias("names"), values.alias("values")), _last_of_each)
+
+    whole = F.regexp_replace(line, PAIR, "") == ""
+    return F.when(whole & (line != ""), bound(F.regexp_extract_all(line, F.lit(PAIR), F.lit(0)), record))
+
+
+def _last_of_each(pairs: Column) -> Column:
+    names, values = pairs["names"], pairs["values"]
+    entries = F.arrays_zip(names.alias("k"), values.alias("v"))
+    last = F.filter(entries, lambda x, i: ~F.array_contains(F.slice(names, i + 2, F.size(names) + 1), x["k"]))
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, values)).otherwise(F.map_from_entries(last))
 
 
 def _unquoted(value: Column) -> Column:
-    inner = value.substr(F.lit(2), F.length(value) - 2)
-    for mark, meant in (("\\\\", "\u0001"), ('\\"', '"'), ('""', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\u0001", "\\")):
-        inner = F.replace(inner, F.lit(mark), F.lit(meant))
-    return F.when(value.startswith('"'), inner).otherwise(value)
+    """What a quoted value means: parts between escapes and doubled quotes, and these one by one."""
+    inner = F.regexp_extract(value, r'(?s)\A"((?:[^"\\]|\\.|"")*+\\?)', 1)
+    parts = F.regexp_extract_all(inner, F.lit(r'(?s)\\.|""|[^\\"]+'), F.lit(0))
+    meant = lambda p: F.when(p == "\\n", "\n").when(p == "\\t", "\t").when(p == "\\r", "\r").when(p == "\\\\", "\\").when((p == '\\"') | (p == '""'), '"').otherwise(p)
+    plain = ~inner.contains("\\") & ~inner.contains('""')
+    return F.when(~value.startswith('"'), value).when(plain, inner).otherwise(F.array_join(F.transform(parts, meant), ""))
 
 
 def _group(line: Column, pattern: str, i: int) -> Column:
@@ -140,7 +174,7 @@ def access_log(line: Column) -> Column:
 
 def _fields(df: DataFrame, line: str, width: int | None) -> DataFrame:
     """f1, f2, ... between white space; as many as the widest line has, which one pass finds out unless width says so."""
-    parts = F.filter(F.split(F.trim(line), r"\s+"), lambda x: x != "")
+    parts = words(line)
     if width is None:
         width = df.agg(F.max(F.size(parts))).first()[0] or 0
     split = df.withColumn("__parts", parts)
@@ -152,6 +186,8 @@ def as_columns(df: DataFrame, record: str = "record", names: list[str] | None =
     """A map column's keys as columns; one pass finds out the keys, in order of their first appearance, unless names gives them."""
     if names is None:
         keys = df.select(F.posexplode(F.map_keys(record)).alias("at", "k"), F.monotonically_increasing_id().alias("row"))
-        names = [r.k for r in keys.groupBy("k").agg(F.min(F.struct("row", "at")).alias("first")).orderBy("first").collect()]
+        names = [r.k for r in keys.groupBy("k").agg(F.min(F.struct("row", "at")).alias("first")).orderBy("first").limit(MOST_KEYS + 1).collect()]
+        if len(names) > MOST_KEYS:
+            raise ValueError(f"more than {MOST_KEYS} different keys: say which ones are columns")
     rest = [c for c in df.columns if c != record]
     return df.select(*rest, *[F.try_element_at(record, F.lit(n)).alias(n) for n in names if n not in rest])

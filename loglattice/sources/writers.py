@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from ..operators.levels import FAMILIES, level_of
 from ..operators.records import flatten
 
-FORMATS = ("line", "jsonl", "csv", "tsv", "logfmt", "plain", "fields", "parquet")
+LINES = ("line", "jsonl", "csv", "tsv", "logfmt", "plain", "fields")
 
 # Terminal colours of level families.
 COLOURS = {"error": "31", "warn": "33", "info": "32", "debug": "36", "trace": "90"}
@@ -63,41 +64,69 @@ def coloured(line: Column, level: Column) -> Column:
     return F.when(code.isNull(), line).otherwise(F.concat(F.lit("\u001b["), code, F.lit("m"), line, F.lit("\u001b[0m")))
 
 
-def formatted(df: DataFrame, fmt: str = "logfmt") -> DataFrame:
-    """One column, line. Nested values are flattened for csv, tsv and fields."""
+def family_of(level: Column) -> Column:
+    """The family of a level's name, in any case."""
+    found = F.lit(None).cast("string")
+    for family, names in FAMILIES.items():
+        found = F.when(F.lower(level).isin(names), family).otherwise(found)
+    return found
+
+
+def formatted(df: DataFrame, fmt: str = "logfmt", colours: bool = False) -> DataFrame:
+    """One column, line. Nested values are flattened for csv, tsv and fields. colours: line, logfmt and plain in those of
+    their levels, by a level's column or out of the text."""
+    if colours:
+        if fmt not in ("line", "logfmt", "plain"):
+            raise ValueError("only line, logfmt and plain have colours")
+        level = level_of(df, text="line" if df.columns == ["line"] else None)
+        return df.select(coloured(F.col("line") if fmt == "line" else _line(df, fmt), family_of(level)).alias("line"))
     if fmt == "line":
         if df.columns != ["line"]:
             raise ValueError("only text can be written as lines; choose another format for columns")
         return df
-    if fmt not in FORMATS:
-        raise ValueError(f"{fmt!r} is no format; there are {', '.join(FORMATS)}")
+    if fmt not in LINES:
+        raise ValueError(f"{fmt!r} is no line format; there are {', '.join(LINES)}")
     if fmt in ("csv", "tsv", "fields"):
         df = flatten(df)
+    return df.select(_line(df, fmt).alias("line"))
+
+
+def _line(df: DataFrame, fmt: str) -> Column:
     make = {"jsonl": json_line, "csv": csv_line, "tsv": lambda d: csv_line(d, "\t"), "logfmt": logfmt_line, "plain": plain_line, "fields": fields_line}[fmt]
-    return df.select(make(df).alias("line"))
+    return make(df)
 
 
 @dataclass(frozen=True)
 class RunResult:
-    """What a run wrote: rows, errors, and an exit code (1: errors, 2: no output, 0: output)."""
+    """What a run did: rows written, errors, records read where that is known, and an exit code (1: errors, 2: no output, 0: output)."""
 
     rows: int
     errors: int = 0
     code: int | None = None
+    read: int | None = None
+
+    @property
+    def skipped(self) -> int | None:
+        """Records that were read and neither written nor wrong; fan-out may have written more."""
+        return None if self.read is None else max(0, self.read - self.errors - self.rows)
 
     @property
     def exit_code(self) -> int:
         return self.code or (1 if self.errors else 0 if self.rows else 2)
 
 
-def write(df: DataFrame, path: str, fmt: str = "logfmt", mode: str = "error", errors: int = 0) -> RunResult:
-    """Writes df as files of a folder; csv and tsv files have a header each."""
+def write(df: DataFrame, path: str, fmt: str = "logfmt", mode: str = "error", errors: int = 0, colours: bool = False) -> RunResult:
+    """Writes df as files of a folder; csv and tsv files have a header each. Rows are counted as they are written."""
+    if fmt in ("csv", "tsv"):
+        df = flatten(df)
+    elif fmt != "parquet":
+        df = formatted(df, fmt, colours)
+    count = Observation()
+    writer = df.observe(count, F.count(F.lit(1)).alias("rows")).write.mode(mode)
     if fmt == "parquet":
-        df.write.mode(mode).parquet(path)
+        writer.parquet(path)
     elif fmt in ("csv", "tsv"):
-        flatten(df).write.mode(mode).options(header=True, sep="\t" if fmt == "tsv" else ",", escape='"').csv(path)
+        writer.options(header=True, sep="\t" if fmt == "tsv" else ",", escape='"').csv(path)
     else:
-        formatted(df, fmt).write.mode(mode).text(path)
-    spark = df.sparkSession
-    rows = spark.read.parquet(path).count() if fmt == "parquet" else spark.read.options(header=True, multiLine=True, escape='"').csv(path).count() if fmt in ("csv", "tsv") else spark.read.text(path).count()
-    return RunResult(rows, errors)
+        writer.text(path)
+    return RunResult(count.get["rows"], errors)

@@ -53,7 +53,7 @@ def test_json_csv_pairs(spark):
     check(spark, [
         (fn.parse_json(F.lit('{"a":1}'), "a bigint")["a"], 1), (fn.parse_json(F.lit("{bad"), "a bigint")["a"], None), (fn.dump_json(F.struct(F.lit(1.5).alias("x"))), '{"x":1.5}'),
         (fn.parse_csv(F.lit('a,"b, ""c""",d')), {"col1": "a", "col2": 'b, "c"', "col3": "d"}), (fn.parse_csv(F.lit("a;b"), ["x", "y", "z"], ";"), {"x": "a", "y": "b", "z": ""}), (fn.parse_csv(F.lit("a,b,c"), ["x"]), {"x": "a"}),
-        (fn.parse_csv(F.lit(""), ["x"]), {}), (fn.parse_csv(F.lit(",")), {"col1": "", "col2": ""}), (fn.dump_csv(F.array(F.lit("a,b"), F.lit("c")), ";"), "a,b;c"),
+        (fn.parse_csv(F.lit('a,"b, c')), {"col1": "a", "col2": "b, c"}), (fn.parse_csv(F.lit(""), ["x"]), {}), (fn.parse_csv(F.lit(",")), {"col1": "", "col2": ""}), (fn.dump_csv(F.array(F.lit("a,b"), F.lit("c")), ";"), "a,b;c"),
         (fn.parse_kv(F.lit("a=1 b=x=y c a=2")), {"b": "x=y", "a": "2"}), (fn.parse_kv(F.lit("a:1|b:2"), ":", "|"), {"a": "1", "b": "2"}),
     ])
 
@@ -99,3 +99,12 @@ def test_lists_and_paths(spark):
         (fn.list_percentile(numbers(*range(1, 6)), 50), 3.0), (fn.list_percentile(numbers(*range(1, 11)), 90), 9.1), (fn.list_percentile(numbers(4, 3, 2, 1), 25), 1.75), (fn.list_percentile(numbers(1), 101), None), (fn.list_percentile(F.array().cast("array<int>"), 5), None),
         (fn.round_half_up(F.lit(2.5)), 3.0), (fn.round_half_up(F.lit(-2.5)), -3.0), (fn.round_half_up(F.lit(1.005), 2), 1.0), (fn.power(F.lit(2), 10), 1024.0), (fn.absolute(F.lit(-3)), 3.0),
     ])
+
+
+def test_values_that_cannot_be_taken_give_null(spark):
+    check(spark, [
+        (fn.list_sum(F.array(F.lit("1"), F.lit("x"))), None), (fn.list_avg(F.array(F.lit("1"), F.lit("x"))), None), (fn.list_percentile(F.array(F.lit("1"), F.lit("x")), 50), None), (fn.list_sum(F.array(F.lit("1"), F.lit("2.5"))), 3.5),
+        (fn.round_half_up(F.lit(1e25)), 1e25), (fn.round_half_up(F.lit(-2.5)), -3.0), (fn.words(F.lit("\ta\u00a0b ")), ["a", "b"]),
+    ])
+    got = spark.createDataFrame([("a",), ("1",), (None,)], "x string").select(fn.evaluates(F.col("x").cast("int")).alias("ok")).collect()
+    assert [r.ok for r in got] == [False, True, True]

@@ -58,7 +58,7 @@ def test_chunks(spark):
     assert text(chunking.chunk_lines(df, 2)) == ["2024 a\n b", "2024 c\n d", "2024 e"]
     assert text(chunking.chunk_start(df, "^2024")) == ["2024 a\n b", "2024 c\n d", "2024 e"]
     assert text(chunking.chunk_start(df, "^never")) == ["2024 a\n b\n2024 c\n d\n2024 e"]
-    parts = lines(spark, "a", "b", " --- ", "---", "c")
+    parts = lines(spark, "a", "b", " --- ", "---", "\t---\t", "c")
     assert text(chunking.chunk_delimiter(parts, "---")) == ["a\nb", "c"]
     assert chunking.chunked(df) is df and text(chunking.chunk_lines(df.limit(0), 3)) == []
     with pytest.raises(ValueError):
@@ -102,11 +102,11 @@ def test_exit(spark):
 
 
 def test_logfmt(spark):
-    cases = {'level=ERROR msg="db down, retry" k= q=""': {"level": "ERROR", "msg": "db down, retry", "k": "", "q": ""}, 'm="say \\"hi\\" \\n \\\\n"': {"m": 'say "hi" \n \\n'}, "a=1 a=2": {"a": "2"}, "no equals here": None, "a=1 bare": None, "u=http://x?a=b": {"u": "http://x?a=b"}}
+    cases = {'level=ERROR msg="db down, retry" k= q=""': {"level": "ERROR", "msg": "db down, retry", "k": "", "q": ""}, 'm="say \\"hi\\" \\n \\\\n"': {"m": 'say "hi" \n \\n'}, "a=1 a=2": {"a": "2"}, "no equals here": None, "a=1 bare": None, "u=http://x?a=b": {"u": "http://x?a=b"}, 'a="x\\"\"\"y"': {"a": 'x""y'}, 'a="open b=1': {"a": "open b=1"}, 'a="x"b=2': {"a": "x", "b": "2"}, 'a="\u0001\\q"': {"a": "\u0001\\q"}, "=1": None}
     df = lines(spark, *cases)
     kept = {r.line: r.record for r in readers.parse(df, "logfmt", errors="keep").collect()}
     assert kept == cases
-    assert readers.parse(df, "logfmt").count() == 4
+    assert readers.parse(df, "logfmt").count() == 8
     wide = readers.as_columns(readers.parse(lines(spark, "b=1 a=2", "c=3"), "logfmt").drop("line"))
     assert wide.columns == ["LINENUM", "b", "a", "c"]
 
@@ -139,7 +139,8 @@ def test_access_logs(spark):
 
 def test_files_in_and_out(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name,message\nw1,"lost, retry"\nw2,"two\nlines"\nshort\n')
-    assert [tuple(r) for r in readers.read(spark, str(tmp_path / "a.csv")).collect()] == [("w1", "lost, retry"), ("w2", "two\nlines")]
+    assert [tuple(r) for r in readers.read(spark, str(tmp_path / "a.csv"), multiline=True).collect()] == [("w1", "lost, retry"), ("w2", "two\nlines")]
+    assert [r.rejected for r in readers.read(spark, str(tmp_path / "a.csv"), multiline=True, errors="keep").orderBy("name").collect()] == ["short", None, None]
     (tmp_path / "a.tsv").write_text("a\tb\n1\t2\n")
     assert readers.read(spark, str(tmp_path / "a.tsv")).first().b == "2"
     (tmp_path / "a.jsonl").write_text('{"a": 1, "b": {"c": [1, 2]}}\n{"a": nope\n')
@@ -183,6 +184,72 @@ def test_pipeline(spark, tmp_path):
     assert p.keys(["name"]).write(str(tmp_path / "o")).rows == 4
 
 
+def test_records_that_fail_are_dropped_and_counted(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": "1"}\n{"a": "x"}\n{"a": "0"}\n{bad\n{"a": "4"}\n')
+    p = Pipeline.read(spark, str(tmp_path / "x.jsonl"))
+    inverse = p.derive(q="1 / cast(a as int)")
+    assert sorted((r.a, r.q) for r in inverse.frame.collect()) == [("1", 1.0), ("4", 0.25)]
+    assert [r.a for r in p.filter("a > 1").frame.collect()] == ["4"]
+    assert sorted(r.line for r in p.eval("cast(a as int) + 1").frame.collect()) == ["1", "2", "5"]
+    assert [r.a for r in p.skip("cast(a as int) < 2").frame.collect()] == ["4"]
+    done = inverse.filter("q < 1").write(str(tmp_path / "out"), "jsonl")
+    assert (done.rows, done.errors, done.read, done.skipped, done.exit_code) == (1, 3, 5, 1, 1)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        Pipeline(p.frame, errors="fail").filter("a > 1").frame.collect()
+    kept = Pipeline.read(spark, str(tmp_path / "x.jsonl"), errors="keep").frame
+    assert sorted(r.rejected or "" for r in kept.collect())[-1] == "{bad"
+    assert p.frame.count() == 4
+    assert p.derive(m="map('k', cast(a as int))").frame.count() == 3
+    assert p.filter("a = '4'").write(str(tmp_path / "two"), "jsonl", code=7).exit_code == 7
+
+
+def test_filters_that_cannot_fail_reach_the_files(spark, tmp_path, capsys):
+    spark.range(10).withColumn("s", F.lit("x")).write.parquet(str(tmp_path / "t"))
+    Pipeline(spark.read.parquet(str(tmp_path / "t"))).filter("id >= 5 and s = 'x'").frame.explain()
+    assert "GreaterThanOrEqual(id,5)" in capsys.readouterr().out
+
+
+def test_writers_count_rows_as_written(spark, tmp_path):
+    one = spark.createDataFrame([("two\nlines",)], "line string")
+    assert [writers.write(one, str(tmp_path / "o"), "line", mode="append").rows for _ in range(2)] == [1, 1]
+    with pytest.raises(ValueError, match="no line format"):
+        writers.formatted(one, "parquet")
+    df = spark.createDataFrame([("ERR", "a"), ("x", "b")], "level string, msg string")
+    assert [r.line for r in writers.formatted(df, "plain", colours=True).collect()] == ["\x1b[31mERR a\x1b[0m", "x b"]
+    assert [r.line for r in writers.formatted(lines(spark, "all is info", "-").select("line"), "line", colours=True).collect()] == ["\x1b[32mall is info\x1b[0m", "-"]
+    with pytest.raises(ValueError, match="colours"):
+        writers.formatted(df, "csv", colours=True)
+    with pytest.raises(ValueError, match="common keys"):
+        Pipeline(df).common().write(str(tmp_path / "c"), "csv")
+
+
+def test_begin_and_end_for_each_file(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.log").write_text(f"{name}1\n{name}2\n")
+    p = Pipeline.read(spark, str(tmp_path)).begin(spark.createDataFrame([("head",)], "line string"), each=True).end(line="cast(count(1) as string)")
+    assert [r.line for r in p.result().collect()] == ["head", "a1", "a2", "2", "head", "b1", "b2", "2"]
+
+
+def test_level_map_shows_the_timestamp_last_seen(spark):
+    df = spark.createDataFrame([(1, "info", "t1"), (2, "warn", None), (3, "info", "t3"), (4, "error", None), (5, None, None), (6, "info", None)], "i long, level string, ts string")
+    assert [tuple(r) for r in levels.level_map(df, "i", width=2).orderBy("row").collect()] == [(0, "t1", "iw"), (1, "t3", "ie"), (2, "t3", ".i")]
+    texts = lines(spark, "2024-01-02 03:04:05 [error] x", "all is info")
+    assert [tuple(r) for r in levels.level_map(texts, "LINENUM", width=9, text="line").collect()] == [(0, "2024-01-02 03:04:05", "ei")]
+
+
+def test_keys_that_become_columns_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(readers, "MOST_KEYS", 2)
+    with pytest.raises(ValueError, match="different keys"):
+        readers.as_columns(readers.parse(lines(spark, "a=1 b=2 c=3"), "logfmt"))
+
+
+def test_slices_by_cuts(spark):
+    cuts = [1.0, 2.0, 5.0, 5.5, 9.0, 12.0, 30.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in (0.0, 1.0, 1.5, 5.2, 6.0, 12.5, 31.0)], "x double").select(ordering.place_among(F.col("x"), cuts)).collect()]
+    assert got == [0, 0, 1, 3, 4, 6, 7]
+    assert spark.range(1).select(ordering.place_among(F.lit(3.0), [])).first()[0] == 0
+
+
 def test_results_do_not_depend_on_partitions(spark):
     df = spark.range(2000).withColumn("v", F.col("id") % 7)
     one, many = ([tuple(r) for r in ordering.trailing(x, 3, "id", {"s": lambda w: F.sum("v").over(w)}).orderBy("id").collect()] for x in (df.coalesce(1), df.repartition(8)))
