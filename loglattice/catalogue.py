@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from .functions import columns as fn
 from .functions.patterns import PATTERNS, extract_pattern
 from .operators import chunking, levels, ordering, records
 from .plans.pipeline import Pipeline
+from .session import shared_folder
 from .sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,6 +287,8 @@ for _name in ("num", "version", "gitcommit", "ipv4", "email", "fqdn", "duration"
     _pattern_query(_name, "documents", "doc_id", "text")
 for _name in ("url", "fqdn", "path", "num"):
     _pattern_query(_name, "pages", "page_id", "url")
+for _name in ("function", "json"):
+    _pattern_query(_name, "pages", "page_id", "html")
 
 
 @query("SELECT part.p_partkey, string_split(p_name, ' ')[1] AS first, string_split(p_name, ' ')[-1] AS last, array_to_string(string_split(p_name, ' ')[1:2], '-') AS two FROM part")
@@ -385,6 +389,110 @@ def string_methods(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT p_partkey, array_to_string(list_sort(w), ' ') AS sorted, array_to_string(list_reverse(w), ' ') AS backwards, len(list_distinct(w)) AS different, array_to_string(list_transform(w, lambda x: upper(x)), '+') AS mapped,
+  len(list_filter(w, lambda x: length(x) > 4)) AS long, list_contains(w, 'red') AS has_red, list_max(list_transform(w, lambda x: length(x))) AS longest
+FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
+""")
+def list_builtins(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    return Pipeline(rows).derive(sorted="array_join(array_sort(w), ' ')", backwards="array_join(reverse(w), ' ')", different="cast(size(array_distinct(w)) as bigint)", mapped="array_join(transform(w, x -> upper(x)), '+')", long="cast(size(filter(w, x -> length(x) > 4)) as bigint)", has_red="array_contains(w, 'red')", longest="cast(array_max(transform(w, x -> length(x))) as bigint)", w=None).frame
+
+
+@query("""
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(event_id AS VARCHAR) || '!' AS s, TRY_CAST(event_type AS DOUBLE) AS none, CAST(value AS BIGINT) >= 0 AS positive, 'type,user' AS keys, event_type AS type, 2 AS n
+FROM (SELECT * REPLACE (CAST(trunc(value) AS BIGINT) AS value) FROM events)
+""")
+def map_and_conversion_builtins(spark: SparkSession, d: str) -> DataFrame:
+    made = events(spark, d).withColumn("m", F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string")))
+    p = Pipeline(made).derive(k="cast(get_json_object(props, '$.k') as bigint)", s="concat(cast(event_id as string), '!')", none="try_cast(event_type as double)", positive="cast(value as bigint) >= 0", keys="array_join(map_keys(m), ',')", type="m['type']", n="size(m)")
+    return p.keys(["event_id", "k", "s", "none", "positive", "keys", "type", "n"]).frame
+
+
+# -- files: written to the shared folder and read back ----------------------------------------------------------
+
+
+def _files(df: DataFrame, fmt: str) -> str:
+    path = f"{shared_folder(df.sparkSession)}/files-{fmt}-{uuid.uuid4().hex}"
+    writers.write(df, path, fmt)
+    return path
+
+
+EVENT_FILES = "SELECT event_id, user_id, event_type FROM events"
+
+
+def _some_events(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select("event_id", "user_id", "event_type")
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    return df.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), "event_type")
+
+
+@query(EVENT_FILES)
+def files_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(Pipeline.read(spark, _files(_some_events(spark, d), "jsonl"), "jsonl").frame)
+
+
+@query(EVENT_FILES)
+def files_csv(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(Pipeline.read(spark, _files(_some_events(spark, d), "csv"), "csv").frame)
+
+
+@query(EVENT_FILES)
+def files_tsv(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(Pipeline.read(spark, _files(_some_events(spark, d), "tsv"), "tsv").frame)
+
+
+@query(EVENT_FILES)
+def files_logfmt(spark: SparkSession, d: str) -> DataFrame:
+    read = Pipeline.read(spark, _files(_some_events(spark, d), "logfmt"), "logfmt").frame
+    return _typed(readers.as_columns(read, names=["event_id", "user_id", "event_type"]))
+
+
+@query(EVENT_FILES)
+def files_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields in no format but blanks; the widest line says how many."""
+    read = Pipeline.read(spark, _files(_some_events(spark, d), "fields"), "fields").frame
+    return _typed(read.withColumnsRenamed({"f1": "event_id", "f2": "user_id", "f3": "event_type"}))
+
+
+@query(EVENT_FILES)
+def files_lines(spark: SparkSession, d: str) -> DataFrame:
+    read = Pipeline.read(spark, _files(_some_events(spark, d), "plain"))
+    return read.extract_vars("{event_id:int} {user_id:int} {event_type}").keys(["event_id", "user_id", "event_type"]).frame
+
+
+@query("SELECT count(*) AS lines, CAST(count(DISTINCT event_id) AS BIGINT) AS different, CAST(count(*) AS BIGINT) AS places FROM events")
+def files_line_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Each line's place within its file is told once."""
+    read = Pipeline.read(spark, _files(_some_events(spark, d), "plain")).frame
+    return read.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct(F.split("line", " ")[0]).alias("different"), F.count_distinct("FILENAME", "LINENUM").alias("places"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 10 <> 0")
+def files_with_bad_lines(spark: SparkSession, d: str) -> DataFrame:
+    """What a format doesn't take is skipped."""
+    df = _some_events(spark, d)
+    line = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{bad "), F.col("event_id").cast("string"))).otherwise(writers.json_line(df))
+    return _typed(Pipeline.read(spark, _files(df.select(line.alias("line")), "line"), "jsonl").frame)
+
+
+@query("SELECT event_id % 10 = 0 AS rejected, count(*) AS n FROM events GROUP BY 1")
+def files_with_rejected_lines(spark: SparkSession, d: str) -> DataFrame:
+    df = _some_events(spark, d)
+    line = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("no pair "), F.col("event_id").cast("string"))).otherwise(writers.logfmt_line(df))
+    read = Pipeline.read(spark, _files(df.select(line.alias("line")), "line"), "logfmt", errors="keep").frame
+    return read.groupBy(F.col("rejected").isNotNull().alias("rejected")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, 100.0 / event_id AS share FROM events WHERE event_id % 7 <> 0 AND event_id > 3")
+def dirty_values(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose step raises an error are dropped: no number, and a division by zero."""
+    rows = events(spark, d).select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit("x")).when(F.col("event_id") <= 3, F.lit("0")).otherwise(F.col("event_id").cast("string")).alias("line"))
+    return Pipeline(rows).derive(share="cast(100 as double) / cast(line as bigint)").filter("share > 0 and event_id > 0").keys(["event_id", "share"]).frame
+
+
 # -- formats ----------------------------------------------------------------------------------------------------
 
 
