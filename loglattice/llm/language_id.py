@@ -15,24 +15,35 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import packed_rows, remainder, written
 
-#: Labelled documents of each language that the model learns from, about; words of each that count; words and n-grams kept.
-PER_LANGUAGE, WORDS_EACH, MOST_WORDS, MOST_GRAMS = 1500, 2000, 60_000, 120_000
+#: Labelled documents of each language that the model learns from, about; words and n-grams that it keeps.
+PER_LANGUAGE, MOST_WORDS, MOST_GRAMS = 1500, 60_000, 120_000
 LONGEST = 5
 UNDETERMINED = "und"
+#: A language is in doubt where its score is not above this many times what it would be by chance.
+DOUBT = 1.2
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Rows that a worker remembers, by token.
 REMEMBERED = 300_000
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case. The expression takes numbers like Roman numerals for letters, which they are not."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for word in found for letters, run in groupby(word, str.isalpha) if letters]
+
+
 def grams_of(word: str, n: int) -> list[str]:
     marked = f"^{word}$"
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
@@ -43,9 +54,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = {}
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            found = LETTERS.findall(text.lower())
-            step = max(1, len(found) // WORDS_EACH)  # of a long text, words spread over all of it
-            words.setdefault(lang, Counter()).update(found[::step])
+            words.setdefault(lang, Counter()).update(words_of(text))
     for lang, counts in words.items():
         for n in range(LONGEST + 1):
             grams: Counter = Counter()
@@ -106,7 +115,7 @@ class Judge:
         """Adds the rows of new tokens: sums over a token's words, each the mean of the rows that speak for it."""
         at, weight, of, letters = [], [], [], np.zeros(len(tokens), "f4")
         for i, token in enumerate(tokens):
-            for word in LETTERS.findall(token.lower()):
+            for word in words_of(token):
                 letters[i] = 1
                 if found := self.model.places(word):
                     at += found
@@ -163,12 +172,11 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, seed:
     draw = F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
     sample = labelled.where(draw < share)
     counts = written(sample.select("lang", "text").mapInArrow(_counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "language-counts")
-    # bounded: the most frequent words and n-grams of the sample
-    top = [counts.where(F.col("n") == n).orderBy(F.desc("c"), "gram", "lang").limit(MOST_WORDS if n == 0 else MOST_GRAMS // LONGEST) for n in range(LONGEST + 1)]
-    union = top[0]
-    for t in top[1:]:
-        union = union.unionByName(t)
-    return Model([tuple(r) for r in union.collect()])
+    # bounded: each language's most frequent words and n-grams, as many for each, with their counts in all languages
+    most = F.when(F.col("n") == 0, MOST_WORDS // max(1, len(shares))).otherwise(MOST_GRAMS // LONGEST // max(1, len(shares)))
+    place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
+    kept = counts.withColumn("place", place).where(F.col("place") <= most).select("n", "gram").distinct()
+    return Model(sorted(tuple(r) for r in counts.join(kept, ["n", "gram"]).select("lang", "n", "gram", "c").collect()))
 
 
 def judged(docs: DataFrame, model: Model, keep: Callable[[str, float], bool] | None = None) -> DataFrame:
@@ -197,8 +205,9 @@ def identify_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, per_l
     return judged(docs.select("doc_id", out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, least: float = 0.3, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """docs without those whose language is undetermined, or scores under least."""
+def drop_unidentified(docs: DataFrame, doubt: float = DOUBT, folds: int = 4, held_out: int = 2) -> DataFrame:
+    """docs without those whose language is undetermined or in doubt; with one language to learn, none is in doubt."""
     model = fit(docs, remainder(docs, folds) != held_out)
+    least = min(1.0, doubt / max(1, len(model.langs)))
     one = docs.select(packed_rows(docs), docs["text"])
     return judged(one, model, keep=lambda lang, score: lang != UNDETERMINED and score >= least).select("row.*")

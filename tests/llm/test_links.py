@@ -115,3 +115,11 @@ def test_repeated_ids_and_null_ids(spark):
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and sum(r.kept for r in got) == 2
     assert sorted(r.class_size for r in got) == [1] + [91] * 91
+
+
+def test_recall_of_near_duplicates_in_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want, pairs = brute_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert len(pairs) > 5 and sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+    assert all(want[i] == want[c] for i, c in got.items())
