@@ -5,8 +5,9 @@ A code is the signs of a vector's components. Rows are dealt to blocks of bounde
 what it meets; having searched radius r in segments up to j, and r - 1 in the others, it has met every code within
 distance m * r + j of m segments. It stops when its k-th distance is covered. The best k of each block meet by query.
 
-Queries and rows come together in blocks, a stated query set against all rows. Equal codes are one entry with the
-k smallest ids, so that a frequent vector costs no more than others.
+A stated query set is held against all rows: each block of rows is one partition, and the blocks of queries, which are
+far fewer, come to it one after another. Equal codes are one entry with the k smallest ids, so that a frequent vector
+costs no more than others.
 
 Edge cases: rows with a null id or vector, with a null component, or with another number of components than the
 first row by id, are neither found nor queries; NaN counts as negative; distances tie by id; a query finds itself;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Rows of a block of the index, and of a block of queries, about.
-ROWS_BLOCK, QUERY_BLOCK = 16_384, 2_048
+ROWS_BLOCK, QUERY_BLOCK = 8_192, 2_048
 
 
 def codes_of(vectors: DataFrame) -> DataFrame:
@@ -101,17 +102,21 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 50) -> DataFrame:
     asked = codes.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     q = asked.count()
     row_blocks, query_blocks = max(1, math.ceil(n / ROWS_BLOCK)), max(1, math.ceil(q / QUERY_BLOCK))
-    packed = lambda df, blocks, name: df.groupBy(F.pmod(F.xxhash64("vec_id", "code"), F.lit(blocks)).cast("int").alias(name)).agg(F.collect_list(F.struct("vec_id", "code")).alias(f"{name}_rows"))
-    rows = packed(codes, row_blocks, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    both = rows.join(packed(asked, query_blocks, "part"), "part").select("block", "block_rows", "part_rows").repartition("block")
+    packed = lambda df, blocks: df.groupBy(F.pmod(F.xxhash64("vec_id", "code"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("vec_id", "code")).alias("rows"))
+    mine = packed(codes, row_blocks).select("block", F.lit(-1).alias("part"), "rows")
+    parts = packed(asked, query_blocks).select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("of"), F.col("block").alias("part"), "rows").withColumnRenamed("of", "block")
+    both = mine.unionByName(parts).repartitionById(row_blocks, F.col("block")).sortWithinPartitions("block", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                if batch["block"][i].as_py() != at:
-                    at, index = batch["block"][i].as_py(), Block(*_arrays(batch["block_rows"][i].values), k)
-                ids, wanted = _arrays(batch["part_rows"][i].values)
+                block, ids, wanted = batch["block"][i].as_py(), *_arrays(batch["rows"][i].values)
+                if batch["part"][i].as_py() < 0:
+                    at, index = block, Block(ids, wanted, k)
+                    continue
+                if block != at:  # no row was dealt to this block
+                    continue
                 found = [(int(one), v, d) for one, code in zip(ids, wanted, strict=True) for d, v in index.search(code)]
                 cols = list(zip(*found, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "distance"])

@@ -95,7 +95,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["page_id", "host", "path", "rule", "verdict"])
 
-    dealt = parts.withColumn("h", F.abs(F.hash("page_id", "path")).cast("long")).mapInArrow(page_slots, "slot int, key string, page_id long, host string, path string")
+    dealt = parts.withColumn("h", F.abs(F.hash("page_id", "path").cast("long"))).mapInArrow(page_slots, "slot int, key string, page_id long, host string, path string")
     known = rules.where(F.coalesce(rules["host"], F.lit("")) != "").select(F.translate(rules["host"], UPPER, LOWER).alias("host"), F.coalesce(rules["path"], F.lit("")).alias("path"), rules["verdict"])
     copied = known.withColumn("key", key_of(F.col("host"))).mapInArrow(rule_slots, "slot int, key string, host string, path string, verdict string")
     rows = dealt.withColumns({"is_page": F.lit(True), "verdict": F.lit(None).cast("string")}).unionByName(copied.withColumns({"is_page": F.lit(False), "page_id": F.lit(None).cast("long")}))
