@@ -5,17 +5,18 @@ connected_components and linked use DataFrame functions only; links_within searc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import regrouped, written
+from .common import discard, might_be_in, regrouped, written
 
 #: Members of a block, about, in which the last search takes a bucket; rounds with leaders; rounds at most of the grouping.
-CROWDED, LEADER_ROUNDS, MOST_ROUNDS = 64, 3, 50
+CROWDED, LEADER_ROUNDS, MOST_ROUNDS = 64, 2, 50
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -44,58 +45,67 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b, a < b) between the ids of buckets (key, id), enough to connect whatever verify finds linked.
+def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float = 0.0) -> DataFrame:
+    """Links (a, b, a < b) between the ids of buckets (key, id, rank, size), enough to connect whatever verify finds linked.
 
-    verify takes distinct pairs (a, b) and returns those that hold. No bucket's pairs are all made: members are
-    held against a leader, whose choice changes from round to round (smallest id, then most links), and only
-    buckets that still hold several components go on. At last, the pairs of different components that are left are
-    all made, in crowded buckets by pairs of blocks, so that no task holds all of one.
+    ratio: of linked ids, the smaller size is at least this share of the larger one. Buckets of more than two are cut
+    by it: into classes of size, each id in its own and in the next one, so that such ids share a class.
+
+    verify takes distinct pairs (a, b) and returns those that hold. A bucket of two is a pair, told from its count. In
+    a larger one no more pairs are made than it has members: they are held against a leader, first the one of highest
+    rank, then the one with most links, and only buckets that still hold several components go on. At last, the pairs
+    of different components that are left are all made, in crowded buckets by pairs of blocks, so that no task holds
+    all of one.
     """
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = written(buckets.join(regrouped(shared, "key"), "key"), "buckets")
-    links = tried = None
-    members = buckets.select("key", "id", F.col("id").alias("component"), F.lit(0).alias("degree"))
+    counts = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")
+    counts = written(counts, "bucket-counts")
+    two = counts.where("n = 2 and a < b").select("a", "b")
+    large = counts.where("n > 2").select("key")
+    buckets = buckets.where(might_be_in(F.col("key"), large, "key")).join(regrouped(large, "key"), "key").select("key", "id", "rank", "size")
+    if ratio:
+        of_size = F.floor(F.log(F.greatest(F.lit(1), F.col("size"))) / -math.log(ratio))
+        buckets = buckets.select(F.explode(F.array(of_size, of_size + 1)).alias("class"), "*").withColumn("key", F.xxhash64("key", "class")).drop("class")
+    buckets = written(buckets, "buckets")
+    near = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b)
+    tried = found = None
+    members = buckets.withColumn("component", F.col("id"))
     for r in range(LEADER_ROUNDS + 1):
         if r:
-            if links is None or links.isEmpty():
-                members = buckets.select("key", "id", F.col("id").alias("component"), F.lit(0).alias("degree"))
-            else:
-                groups = connected_components(links).select(F.col("node").alias("id"), "component")
-                ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
-                known = groups.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id")
-                members = buckets.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+            known = connected_components(found).select(F.col("node").alias("id"), "component")
+            ends = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+            members = buckets.select("key", "id", "size").join(known.join(ends, "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("rank"))
             open_keys = members.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
             members = written(members.join(regrouped(open_keys, "key"), "key"), "members")
         if r < LEADER_ROUNDS:
-            first = F.struct((-F.col("degree")).alias("d"), (F.col("id") if r < 2 else F.xxhash64("id")).alias("h"), F.col("id").alias("leader"), F.col("component").alias("of"))
-            leaders = members.groupBy("key").agg(F.min(first).alias("f")).select("key", "f.leader", "f.of")
-            pairs = members.join(regrouped(leaders, "key"), "key").where("component <> of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+            first = F.struct((-F.col("rank")).alias("r"), F.xxhash64("id").alias("h"), F.col("id").alias("leader"), F.col("component").alias("of"), F.col("size").alias("wide"))
+            leaders = members.groupBy("key").agg(F.min(first).alias("f")).select("key", "f.leader", "f.of", "f.wide")
+            pairs = members.join(regrouped(leaders, "key"), "key").where((F.col("component") != F.col("of")) & near("size", "wide")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+            pairs = (pairs.unionByName(two) if not r else pairs).distinct()
         else:
-            pairs = _rest(members)
-        if tried is not None:
+            pairs = _rest(members, near)
+        if r:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            if members.isEmpty():
-                break
-            continue  # other leaders, or the last search, may still find links in open buckets
-        found = written(verify(pairs), "links")
-        links = found if links is None else links.unionByName(found)
+        if r and members.isEmpty():
+            break
+        held = written(verify(pairs), "links")
+        found = held if found is None else found.unionByName(held)
         tried = pairs if tried is None else tried.unionByName(pairs)
-    return buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if links is None else links
+    for used in (counts, buckets):
+        discard(used)
+    return found
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """All pairs of different components within a bucket; a crowded one is held against itself block by block."""
+def _rest(members: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """All near pairs of different components within a bucket; a crowded one is held against itself block by block."""
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / CROWDED).cast("int")
-    sized = members.join(regrouped(counts, "key"), "key").select("key", "id", "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component")
-    right = dealt.select("key", "low", "high", F.col("block").alias("block_b"), F.col("id").alias("b"), F.col("component").alias("cb"))
+    sized = members.join(regrouped(counts, "key"), "key").select("key", "id", "size", "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "size", "component")
+    right = dealt.select("key", "low", "high", F.col("block").alias("block_b"), F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("cb"))
     # a pair in one block meets once for each other block, and counts where the block is held against itself
     once = (F.col("low") == F.col("high")) | (F.col("block") != F.col("block_b"))
-    return dealt.withColumnRenamed("id", "a").join(right, ["key", "low", "high"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & once).select("a", "b").distinct()
+    return dealt.withColumnRenamed("id", "a").join(right, ["key", "low", "high"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & near("size", "size_b") & once).select("a", "b").distinct()
 
 
 #: Members of each group that all its blocks hold.

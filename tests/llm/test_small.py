@@ -149,7 +149,7 @@ def test_connected_components(spark):
 def links_of(spark, buckets, similar):
     """Links that linked() finds, where similar are the pairs that hold."""
     held = spark.createDataFrame(sorted(similar), "a long, b long")
-    return {(r.a, r.b) for r in linked(spark.createDataFrame(buckets, "key long, id long"), lambda pairs: pairs.join(held, ["a", "b"], "left_semi")).collect()}
+    return {(r.a, r.b) for r in linked(spark.createDataFrame([(*x, 1, 1) for x in buckets], "key long, id long, rank long, size long"), lambda pairs: pairs.join(held, ["a", "b"], "left_semi")).collect()}
 
 
 def test_links_after_a_round_without_new_pairs(spark):
@@ -162,10 +162,41 @@ def test_links_in_a_crowded_bucket(spark, monkeypatch):
     monkeypatch.setattr(components, "CROWDED", 2)
     similar = {(i, i + 1) for i in range(10, 40, 2)}
     assert links_of(spark, [(0, i) for i in [1, *range(10, 42)]], similar) >= similar
-    pairs = components._rest(spark.createDataFrame([(k, i, i // 3) for k in (0, 1) for i in range(20)], "key long, id long, component long")).collect()
+    pairs = components._rest(spark.createDataFrame([(k, i, i // 3, 1) for k in (0, 1) for i in range(20)], "key long, id long, component long, size long"), lambda a, b: F.lit(True)).collect()
     assert sorted((r.a, r.b) for r in pairs) == [(a, b) for a in range(20) for b in range(a + 1, 20) if a // 3 != b // 3]
 
 
+def test_links_in_a_bucket_cut_by_size(spark):
+    """Sizes at the ratio and across the edges of classes; what is too far apart is never held against each other."""
+    sizes = [10 + i for i in range(60)] * 2
+    held = {(i, j) for i, a in enumerate(sizes) for j, b in enumerate(sizes) if i < j and min(a, b) >= 0.8 * max(a, b) and (i + j) % 7 == 0}
+    asked = []
+
+    def verify(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.join(spark.createDataFrame(sorted(held), "a long, b long"), ["a", "b"], "left_semi")
+
+    got = {(r.a, r.b) for r in linked(spark.createDataFrame([(0, i, 1, n) for i, n in enumerate(sizes)], "key long, id long, rank long, size long"), verify, 0.8).collect()}
+    root = list(range(len(sizes)))
+    for i, j in held:
+        old, new = max(root[i], root[j]), min(root[i], root[j])
+        root = [new if x == old else x for x in root]
+    mine = list(range(len(sizes)))
+    for i, j in got:
+        old, new = max(mine[i], mine[j]), min(mine[i], mine[j])
+        mine = [new if x == old else x for x in mine]
+    assert got <= held and mine == root
+    assert all(min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) for a, b in asked)
+
+
+def test_edit_distance_between_like_ends(spark):
+    rng = random.Random(3)
+    pairs = [tuple(" ".join(rng.choices(["a", "bb", "ccc"], k=rng.randrange(1, 9))) for _ in range(2)) for _ in range(300)] + [("a", "a"), ("a b", "a"), ("a", "b a")]
+    df = spark.createDataFrame(pairs, "p string, q string").select("p", "q", F.split("p", " ").alias("wa"), F.split("q", " ").alias("wb"))
+    got = df.select("p", "q", F.inline(F.array(line_dedup.between("wa", "wb")))).select(F.levenshtein("p", "q").alias("whole"), F.levenshtein("x", "y").alias("rest"), "p", "q", "x", "y").collect()
+    assert len(got) == len(pairs) and all(r.rest == r.whole for r in got)
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://a.com", "http://A.COM/x", "http://com/x", "http://example.com/en/1", "http://www.example.com/en/1?q", "http://x.www.example.com/en/", "http://wwwexample.com/en/", "http://a.net/es/1", "http://a.net/de/", "https://b.net:80/fr/", "http://a.org/#x://b", "http://example.com./en/"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(100 + i, "http://hot.net/fr/x") for i in range(500)], "page_id long, url string").withColumns({"host": F.lit(1), "slot": F.lit(2), "verdict": F.lit(3)})
@@ -268,6 +299,7 @@ def test_packing(docs, rows, empty):
             part = np.array(ids[i : i + 2048], "<u4")
             want[doc_id, k, i, len(part), zlib.crc32(part.tobytes())] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -286,7 +318,28 @@ def test_tokenizer_agrees(text):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(PATH)
-    assert np.frombuffer(packing.tokenizer_at(PATH)(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(next(packing.tokenizer_at(PATH)([text])), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizer_agrees_on_random_texts(monkeypatch):
+    """All kinds of characters next to each other, many texts at once; and texts cut in parts."""
+    from tokenizers import Tokenizer
+
+    whole, mine = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
+    rng = random.Random(8)
+    parts = ["'", "''", "s", "t", "re", "ve", "ll", "d", "m", "a", "\u00e9", "\u00df", "\u00c3", "\u00a9", "1", "2", "_", "!", ".", " ", "\n", "\t", "<", "|", "\u00c4", "\u00b9", "\x85", "\u2019", "\u4e2d", "\x0b", "\x1c", "\u00aa", "-"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(5000)]
+    ids = lambda text: whole.encode(text, add_special_tokens=False).ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine(texts)] == [ids(t) for t in texts]
+    monkeypatch.setattr(packing, "AT_ONCE", 50)
+    long = [" ".join("".join(rng.choices("abc's\u00e91.", k=rng.randrange(1, 9))) for _ in range(300)), "a" * 500 + " b", "", "  "]
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine(long)] == [ids(t) for t in long]
+
+
+def test_what_is_remembered_is_bounded():
+    asked = []
+    known = packing.Remembered(lambda w: asked.append(w) or w.encode(), most=4)
+    assert [known[w] for w in "abcabdc"] == [w.encode() for w in "abcabdc"] and asked == ["a", "b", "c", "d"] and len(known) <= 2
 
 
 def test_packing_bounds():
@@ -301,10 +354,24 @@ def test_packing_bounds():
 def test_packing_exchanges_between_groups(spark):
     rng = np.random.default_rng(9)
     pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(1, 2049, 3000))], "pid long, length long")
+    pieces_length = dict(pieces.collect())
     got = packing.pack(pieces, group=1000).collect()
     assert len(got) == 3000 and len({r.pid for r in got}) == 3000
     used = len({r.sequence_id for r in got})
-    assert used <= 1.015 * packing.lower_bound(np.array([r.length for r in pieces.collect()]))
+    assert used <= 1.01 * packing.lower_bound(np.array([r.length for r in pieces.collect()]))
+    fills = Counter()
+    for r in got:
+        fills[r.sequence_id] += pieces_length[r.pid]
+    assert max(fills.values()) <= 2048 and {r.sequence_id for r in got if r.offset == 0} == set(fills)
+    # a sequence with a gap is in a group whose bins are counted and bounded
+    assert all(r.bins >= r.bound > 0 for r in got)
+
+
+def test_packing_ends_when_nothing_is_gained(spark):
+    """No two pieces fit together: every group is certified at once."""
+    pieces = spark.createDataFrame([(i, 1100 + i % 7) for i in range(900)], "pid long, length long")
+    got = packing.pack(pieces, group=100).collect()
+    assert len({r.sequence_id for r in got}) == 900 and all(r.bins == r.bound for r in got)
 
 
 def test_topk(spark):
