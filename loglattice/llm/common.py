@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: The white space of the contracts' words, as a Java and a Python character class.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch of rows that goes to Python, about, while a table is written.
+BATCH = 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def written(df: DataFrame, name: str = "table", row_id: str | None = None, codec: str = "zstd", by: str | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation.
 
@@ -37,13 +32,16 @@ def written(df: DataFrame, name: str = "table", row_id: str | None = None, codec
         df = df.withColumn(row_id, F.monotonically_increasing_id())
     # else joins on unions may fail once their inputs are coalesced: "Can't zip RDDs with unequal numbers of partitions"
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")  # the exchanges of this write are not needed once it is done
+    # the exchanges of this write are not needed once it is done, and rows with texts or packed numbers may be large
+    for_now = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)}
+    before = {k: spark.conf.get(k, None) for k in for_now}
     try:
+        for k, v in for_now.items():
+            spark.conf.set(k, v)
         df.write.option("compression", codec).parquet(path, partitionBy=by)
     finally:
-        spark.conf.set(cleanup, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)  # a partition column comes last
 
 
@@ -69,6 +67,11 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is evaluated once, however often then uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def uniform(*cols: Column | str) -> Column:
     """A number in (0, 1) that depends on the columns' values only."""
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
