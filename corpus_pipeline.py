@@ -1,4 +1,9 @@
-"""Training-data pipeline: five stages over documents, each written as Parquet and reread as the next one's input."""
+"""Training-data pipeline: five stages over documents, each written as Parquet and reread as the next one's input.
+
+Edge cases: a null or empty text has no language and goes in the first stage; of equal texts one stays, repeated rows
+and null doc_ids included; texts of any length are taken whole; a null source is a source of its own; columns beside
+those of documents, whatever their names, are carried along up to the last stage; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loglattice.llm.common import shared_folder, table
+from loglattice.llm.common import discard, shared_folder, table
 from loglattice.llm.exact_dedup import drop_exact_copies
 from loglattice.llm.language_id import drop_unidentified
 from loglattice.llm.minhash_dedup import drop_near_duplicates
@@ -49,9 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the table of documents. A stage's output is removed once the next one's is written."""
+    docs, former = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if former:
+            discard(former)
+        docs = former = spark.read.parquet(path)
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are written by now
+    discard(docs)
+    return packed
