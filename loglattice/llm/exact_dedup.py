@@ -1,5 +1,8 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash. DataFrame functions only.
 
+drop_exact_copies reads and hashes whole texts only of documents that share length and prefix with another one;
+exact_dedup returns every document's digest, and takes it in the first reading.
+
 Edge cases: a null text counts as empty; empty texts are equal to each other and to texts of white space alone.
 Every row of the input gets a row, repeated rows too, of which one at most is kept. A null doc_id sorts last.
 An empty table gives an empty result. Extra columns, whatever their names, have no effect.
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, has_unique_ids, regrouped, text_of, with_copies, written
+from .common import BLANK, has_unique_ids, might_be_in, packed_rows, regrouped, text_of, written
 
 PREFIX = 256
 
@@ -50,8 +53,33 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, keys: DataFrame | None =
     )
 
 
+def shared_prefixes(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
+    """doc_id, shared, as many as docs has rows: whether another row has the same length and the same prefix.
+
+    No text is hashed as a whole here. The prefix is taken from the text's first characters, unless white space
+    leaves too few of them.
+    """
+    text = text_of(docs)
+    head = F.regexp_replace(F.substring(text, 1, 4 * prefix), BLANK, "")
+    enough = F.when(F.char_length(head) >= prefix, head).otherwise(F.regexp_replace(text, BLANK, ""))
+    bare = docs.select(docs["doc_id"], (F.char_length(text) - F.regexp_count(text, F.lit(BLANK))).alias("n_bare"), F.xxhash64(F.substring(enough, 1, prefix)).alias("prefix_hash"))
+    rows = written(bare, "dedup-prefixes", row_id="row_id")
+    mine = survivors(rows).select("row_id", F.lit(True).alias("shared"))
+    return written(rows.select("row_id", "doc_id").join(mine, "row_id", "left").select("doc_id", F.coalesce("shared", F.lit(False)).alias("shared")), "dedup-shared")
+
+
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies."""
-    keys = document_keys(docs)
-    found = exact_dedup(docs, keys=keys)
-    return with_copies(docs, found.select("doc_id", "text_key", F.col("kept").cast("int").alias("copies")), has_unique_ids(keys))
+    """docs without the copies. Only documents that share length and prefix with another one are hashed as a whole."""
+    rows = shared_prefixes(docs)
+    unique, shared = has_unique_ids(rows), rows.where("shared").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"))
+    if shared.isEmpty():
+        return docs
+    some = docs.where(might_be_in(F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)), shared, "id"))
+    of_row = F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("long")).alias("copies")
+    gone = written(exact_dedup(some).groupBy("doc_id", "text_key").agg(*of_row).where("copies < n"), "dedup-gone")
+    if unique:
+        return docs.join(gone.select(F.col("doc_id").alias("id2")), docs["doc_id"] == F.col("id2"), "left_anti")
+    packed = docs.select(packed_rows(docs), docs["doc_id"].alias("id"), F.xxhash64(text_of(docs)).alias("tk"))
+    judged = packed.join(gone.select(F.col("doc_id").alias("id2"), F.col("text_key").alias("tk2"), "copies"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2")), "left")
+    once = judged.where("copies = 1").groupBy("id", "tk").agg(F.first("row").alias("row"))
+    return judged.where("copies is null").select("row").unionByName(once.select("row")).select("row.*")
