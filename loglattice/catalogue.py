@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as fn
 from .functions.patterns import PATTERNS, extract_pattern
-from .operators import chunking, levels, ordering, records
+from .operators import chunking, joins, levels, ordering, records, sessions
 from .plans.pipeline import Pipeline
 from .session import shared_folder
 from .sources import readers, writers
@@ -602,3 +602,87 @@ def union_tables(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_join_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+# -- joins by order, sessions ------------------------------------------------------------------------------------
+
+
+@query("""
+WITH met AS (
+  SELECT p.event_id, p.user_id, p.ts, v.event_id AS view_id, v.value AS view_value, row_number() OVER (PARTITION BY p.event_id ORDER BY v.ts DESC, v.event_id DESC) AS n
+  FROM events p LEFT JOIN events v ON v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts AND p.ts - v.ts <= INTERVAL 12 HOUR
+  WHERE p.event_type = 'purchase'
+)
+SELECT event_id, user_id, view_id, view_value FROM met WHERE n = 1
+""")
+def asof_purchase_view(spark: SparkSession, d: str) -> DataFrame:
+    """Each purchase with its user's last view of the twelve hours before it."""
+    of = events(spark, d)
+    views = of.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("value").alias("view_value"), "ts", "user_id")
+    joined = joins.asof_join(of.where("event_type = 'purchase'"), views, "ts", by=["user_id"], tolerance=12 * 3600)
+    return joined.select("event_id", "user_id", "view_id", "view_value")
+
+
+@query("""
+WITH met AS (
+  SELECT c.event_id, e.event_id AS error_id, row_number() OVER (PARTITION BY c.event_id ORDER BY abs(epoch_us(e.ts) - epoch_us(c.ts)), e.ts, e.event_id DESC) AS n
+  FROM (SELECT * FROM events WHERE event_type = 'click') c JOIN (SELECT * FROM events WHERE event_type = 'error') e ON e.ts BETWEEN c.ts - INTERVAL 6 HOUR AND c.ts + INTERVAL 6 HOUR
+)
+SELECT c.event_id, error_id FROM events c LEFT JOIN met ON met.event_id = c.event_id AND n = 1 WHERE c.event_type = 'click'
+""")
+def asof_nearest_error(spark: SparkSession, d: str) -> DataFrame:
+    """Each click with the nearest error of anyone, at most six hours away."""
+    of = events(spark, d)
+    errors = of.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("error_ts"))
+    return joins.asof_join(of.where("event_type = 'click'").select("event_id", "ts"), errors, "ts", "error_ts", tolerance=6 * 3600, direction="nearest").select("event_id", "error_id")
+
+
+SPANS = "spans AS (SELECT event_id, user_id, event_type, ts AS start, ts + to_microseconds(CAST(round(value * 60000000) AS BIGINT)) AS stop FROM events)"
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """Each event lasts as many minutes as its value says."""
+    of = events(spark, d)
+    return of.select("event_id", "user_id", "event_type", F.col("ts").alias("start"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 60_000_000).cast("long")).alias("stop"))
+
+
+@query(f"WITH {SPANS} SELECT p.event_id AS purchase_id, e.event_id AS error_id, epoch_us(least(p.stop, e.stop)) - epoch_us(greatest(p.start, e.start)) AS shared_us FROM spans p JOIN spans e ON p.start <= e.stop AND e.start <= p.stop WHERE p.event_type = 'purchase' AND e.event_type = 'error'")
+def overlapping_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases and errors that last at the same time, and for how long."""
+    of = _spans(spark, d).drop("user_id")
+    pairs = joins.interval_join(of.where("event_type = 'purchase'"), of.where("event_type = 'error'"), ("start", "stop"))
+    shared = F.unix_micros(F.least("stop", "stop_right").cast("timestamp")) - F.unix_micros(F.greatest("start", "start_right").cast("timestamp"))
+    return pairs.select(F.col("event_id").alias("purchase_id"), F.col("event_id_right").alias("error_id"), shared.alias("shared_us"))
+
+
+@query(f"WITH {SPANS} SELECT a.event_id AS first_id, b.event_id AS second_id, a.user_id FROM spans a JOIN spans b ON a.user_id = b.user_id AND a.start < b.stop AND b.start < a.stop AND a.event_id < b.event_id")
+def overlapping_spans_by_user(spark: SparkSession, d: str) -> DataFrame:
+    """Events of one user that overlap, each pair once."""
+    of = _spans(spark, d).drop("event_type")
+    pairs = joins.interval_join(of, of, ("start", "stop"), by=["user_id"], closed=False)
+    return pairs.where("event_id < event_id_right").select(F.col("event_id").alias("first_id"), F.col("event_id_right").alias("second_id"), "user_id")
+
+
+@query(f"WITH {SPANS} SELECT event_id FROM spans p WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM spans e WHERE e.event_type = 'error' AND e.start BETWEEN p.start AND p.stop)")
+def spans_without_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases during which no error comes: spans and points."""
+    of = _spans(spark, d)
+    errors = of.where("event_type = 'error'").select(F.col("start").alias("at"))
+    return joins.interval_join(of.where("event_type = 'purchase'"), errors, ("start", "stop"), ("at", "at"), how="anti", key=["event_id"]).select("event_id")
+
+
+SESSIONS = """
+marked AS (SELECT event_id, user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 8 HOUR THEN 0 ELSE 1 END AS begins FROM events),
+numbered AS (SELECT *, CAST(sum(begins) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session_no FROM marked)
+"""
+
+
+@query(f"WITH {SESSIONS} SELECT user_id, session_no, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n, round(sum(value), 2) AS total FROM numbered GROUP BY user_id, session_no")
+def user_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's sessions, which eight hours without an event part."""
+    return sessions.sessions(events(spark, d), "ts", 8 * 3600, ["user_id"], total=F.round(F.sum("value"), 2))
+
+
+@query(f"WITH {SESSIONS} SELECT event_id, user_id, session_no FROM numbered")
+def session_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.sessionize(events(spark, d), "ts", 8 * 3600, ["user_id"]).select("event_id", "user_id", "session_no")

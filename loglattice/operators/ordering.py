@@ -8,6 +8,7 @@ each with a copy of the rows that precede it.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,16 +38,46 @@ def place_among(key: Column, cuts: list[float]) -> Column:
     return F.least(F.lit(len(cuts)), part * step + under(fine)) if len(parts) > 1 else under(array(cuts))
 
 
+def position(df: DataFrame, column: str) -> Column:
+    """A numeric or time column as a double; times in microseconds, of which those of our time are exact."""
+    if dict(df.dtypes)[column] in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(f"`{column}`").cast("timestamp")).cast("double")
+    return F.col(f"`{column}`").cast("double")
+
+
+def slice_cuts(df: DataFrame, key: Column, slices: int | None = None) -> list[float]:
+    """Values of key that cut df into slices of about equal numbers of rows: as many as these ask for, unless slices says so. One pass."""
+    if slices == 1:
+        return []
+    steps = slices or 1024
+    found, n = df.select(key.alias("k")).agg(F.percentile_approx("k", [i / steps for i in range(1, steps)], 20 * steps), F.count(F.lit(1))).first()
+    wanted = slices or min(SLICES, steps, math.ceil(n / SLICE_ROWS))
+    return sorted({found[steps * i // wanted - 1] for i in range(1, wanted)}) if found else []
+
+
+def with_carried(rows: DataFrame, by: list[str], at: str, value: Column, name: str) -> DataFrame:
+    """rows with the last value, an aggregate of slices (column `at`), that is not null in the slices before, within by.
+
+    The window spans one row for each slice. Values of by are not null: structs of one column may hold one.
+    """
+    summed = rows.groupBy(*by, at).agg(value.alias("__summed"))
+    before = F.last("__summed", ignorenulls=True).over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    carried = summed.select(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate(by)], F.col(at).alias("__of_at"), before.alias(name))
+    same = F.col(at) == F.col("__of_at")
+    for i, c in enumerate(by):
+        same &= F.col(c) == F.col(f"__of_{i}")
+    return rows.join(carried, same).drop("__of_at", *[f"__of_{i}" for i in range(len(by))])
+
+
 def running_total(df: DataFrame, value: Column, name: str, order: str, by: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """df with the running sum of value within by, in order of a numeric or time column whose values differ within by.
 
     There are as many slices as the number of rows asks for, unless slices says so.
     """
     by = by or []
-    key = F.col(order).cast("double") if dict(df.dtypes)[order] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(F.col(order).cast("timestamp")).cast("double")
-    slices = slices or min(SLICES, math.ceil(df.count() / SLICE_ROWS))
-    cuts = (df.select(F.percentile_approx(key, [i / slices for i in range(1, slices)], 10 * slices)).first()[0] or []) if slices > 1 else []
-    rows = df.withColumn("__slice", place_among(key, sorted(set(cuts)))).withColumn("__value", value)
+    key = position(df, order)
+    cuts = slice_cuts(df, key, slices)
+    rows = df.withColumn("__slice", place_among(key, cuts)).withColumn("__value", value)
     sums = rows.groupBy(*by, "__slice").agg(F.sum("__value").alias("__sum"))
     before = sums.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__slice").alias("__at"), (F.coalesce(F.sum("__sum").over(Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
     inside = F.coalesce(F.sum("__value").over(Window.partitionBy(*by, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
@@ -76,9 +107,12 @@ def trailing(df: DataFrame, n: int, order: str, columns: dict[str, callable], by
     own = F.floor((F.col("__row") - 1) / block)
     ahead = F.pmod(F.col("__row") - 1, F.lit(block)) >= block - (n - 1)
     both = rows.withColumn("__at", own).withColumn("__block", F.explode(F.when(ahead, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("__own", F.col("__block") == F.col("__at"))
-    window = Window.partitionBy(*by, "__block").orderBy("__row").rowsBetween(1 - n, 0)
+    ordered = Window.partitionBy(*by, "__block").orderBy("__row")
     for name, make in columns.items():
-        both = both.withColumn(name, make(window))
+        if isinstance(make, back):
+            both = both.withColumn(name, make(ordered) if make.k < n else F.lit(None).cast(dict(both.dtypes)[make.column]))
+        else:
+            both = both.withColumn(name, make(ordered.rowsBetween(1 - n, 0)))
     return both.where("__own").drop("__row", "__at", "__block", "__own")
 
 
@@ -96,9 +130,15 @@ def window_size() -> callable:
     return lambda w: F.count(F.lit(1)).over(w)
 
 
-def back(column: str, k: int) -> callable:
-    """The column k rows ago, where the frame reaches there."""
-    return lambda w: F.when(F.size(F.collect_list(F.struct(F.col(column).alias("v"))).over(w)) > k, F.element_at(F.collect_list(F.struct(F.col(column).alias("v"))).over(w), -1 - k)["v"])
+@dataclass(frozen=True)
+class back:  # noqa: N801  used like the functions beside it
+    """The column k rows ago, where the frame reaches there: a lag within the block, which has the frame's rows before its own."""
+
+    column: str
+    k: int
+
+    def __call__(self, block: Window) -> Column:
+        return F.lag(self.column, self.k).over(block)
 
 
 def until_exit(df: DataFrame, exit_when: Column, order: str, by: list[str] | None = None, message: Column | None = None, column: str = "line") -> DataFrame:
