@@ -52,9 +52,12 @@ class Pipeline:
 
     @classmethod
     def read(cls, spark: SparkSession, paths: str | list[str], fmt: str | None = None, errors: str = "skip", **options) -> Pipeline:
-        """errors: as for readers.read and for steps; with `keep`, rejected lines stay and steps drop what fails."""
+        """errors: as for readers.read and for steps; with `keep`, rejected lines stay and steps drop what fails.
+
+        Records are numbered, which costs an exchange; numbered=False reads CSV and JSON Lines without.
+        """
         seen = Observation()
-        df = readers.read(spark, paths, fmt, seen=seen, errors=errors, **options)
+        df = readers.read(spark, paths, fmt, seen=seen, errors=errors, **{"numbered": True, **options})
         numbered, counted = "LINENUM" in df.columns, readers.format_of([paths] if isinstance(paths, str) else paths, fmt) not in ("parquet", "orc")
         return cls(df, "LINENUM" if numbered else None, ("FILENAME",) if numbered else (), errors="fail" if errors == "fail" else "skip", seen=(seen,) if counted else ())
 

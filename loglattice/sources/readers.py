@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.columns import bound, stripped, words
 from ..operators.ordering import number_lines
+from .splitting import csv_records, has_open_quotes, placed_lines, starts_with_open_quote
 
 FORMATS = ("line", "jsonl", "csv", "tsv", "logfmt", "syslog", "combined", "fields", "parquet", "orc")
 # File endings that name a format.
@@ -40,8 +41,7 @@ def format_of(paths: Sequence[str], fmt: str | None = None) -> str:
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], keep_blank: bool = False) -> DataFrame:
     """line, FILENAME, LINENUM. Blank lines are numbered and then left out."""
-    text = spark.read.text([paths] if isinstance(paths, str) else list(paths))
-    placed = text.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("FILENAME"), F.col("_metadata.file_block_start").alias("block")).withColumn("place", F.monotonically_increasing_id())
+    placed = placed_lines(spark, [paths] if isinstance(paths, str) else paths)
     lines = number_lines(placed)
     return lines if keep_blank else lines.where(stripped("line") != "")
 
@@ -49,23 +49,79 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], keep_blank: bool
 def read(spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None, seen: Observation | None = None, **options) -> DataFrame:
     """Records of files. errors: `skip`, `keep` (rejected lines in a column `rejected`) or `fail`; keep_blank: blank lines, which chunks need.
 
-    multiline=True lets quoted CSV and TSV fields hold newlines; each file is then one task. seen counts `read` and
-    `errors` once the records are written or collected.
+    numbered: with LINENUM and FILENAME, which line formats always have; a record's own columns of these names stay instead.
+    Quoted CSV and TSV fields may hold newlines; where some do, or lines are numbered, records are put together over splits,
+    else Spark reads them as they are. multiline=True reads each file as a whole, in one task; multiline=False takes each line for
+    a record. seen counts `read` and `errors` once the records are written or collected.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    kind, errors, keep_blank = format_of(paths, fmt), options.pop("errors", "skip"), options.pop("keep_blank", False)
+    kind, errors, keep_blank, numbered = format_of(paths, fmt), options.pop("errors", "skip"), options.pop("keep_blank", False), options.pop("numbered", False)
     if kind in ("parquet", "orc"):
         return spark.read.format(kind).load(paths)
     if kind in ("csv", "tsv"):
-        options = {"header": True, "multiLine": options.pop("multiline", False), "escape": '"', "sep": "\t" if kind == "tsv" else ",", "enforceSchema": False, **options}
-        columns = spark.read.options(**options).csv(paths).schema
-        return _told_apart(spark.read.options(**options).schema(StructType([*columns, StructField("rejected", StringType())])), "csv", paths, errors, seen)
+        multiline = options.pop("multiline", None)
+        options = {"header": True, "escape": '"', "sep": "\t" if kind == "tsv" else ",", "enforceSchema": False, **options}
+        columns = spark.read.options(**options, multiLine=bool(multiline) or starts_with_open_quote(spark, paths, options["sep"])).csv(paths).schema
+        splits = len(options["sep"]) == 1 and options["escape"] == '"' and multiline is None
+        if splits and (numbered or has_open_quotes(spark, paths, options["sep"])):
+            return _csv_in_splits(spark, paths, columns, options, errors, seen, numbered)
+        return _told_apart(spark.read.options(**options, multiLine=bool(multiline)).schema(_with_rejected(columns)), "csv", paths, errors, seen)
     if kind == "jsonl":
-        columns = [f for f in spark.read.options(columnNameOfCorruptRecord="rejected", **options).json(paths).schema if f.name != "rejected"]
-        return _told_apart(spark.read.options(**options).schema(StructType([*columns, StructField("rejected", StringType())])), "json", paths, errors, seen)
+        columns = StructType([f for f in spark.read.options(columnNameOfCorruptRecord="rejected", **options).json(paths).schema if f.name != "rejected"])
+        if not numbered:
+            return _told_apart(spark.read.options(**options).schema(_with_rejected(columns)), "json", paths, errors, seen)
+        lines = read_lines(spark, paths)
+        record = F.from_json("line", _with_rejected(columns), _mode(errors) | options)
+        return _numbered(lines.withColumn("__record", record), columns, errors, seen, numbered)
     return parse(read_lines(spark, paths, keep_blank), kind, errors=errors, seen=seen)
 
 
+def _with_rejected(columns: StructType) -> StructType:
+    return StructType([*columns, StructField("rejected", StringType())])
+
+
+def _mode(errors: str) -> dict[str, str]:
+    return {"mode": "FAILFAST" if errors == "fail" else "PERMISSIVE", "columnNameOfCorruptRecord": "rejected"}
+
+
+def _csv_in_splits(spark: SparkSession, paths: list[str], columns: StructType, options: dict, errors: str, seen: Observation | None, numbered: bool) -> DataFrame:
+    """Records of CSV files that are read in splits. A file's first record is its header, which must be that of the others."""
+    header = str(options["header"]).lower() == "true"
+    parsing = {k: str(v) for k, v in options.items() if k not in ("header", "enforceSchema")} | _mode(errors)
+    records = csv_records(spark, paths, options["sep"])
+    if header:
+        differs = F.raise_error(F.concat(F.lit("another header than the first file's: "), F.col("record"))).cast("boolean")
+        records = records.where(F.when(F.col("is_head"), F.when(_header(columns, parsing), False).otherwise(differs)).otherwise(True))
+    broken = F.when(~F.col("whole"), F.col("record"))
+    if errors == "fail":
+        broken = F.when(~F.col("whole"), F.raise_error(F.concat(F.lit("a quote is never closed: "), F.col("record"))))
+    schema = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in _with_rejected(columns))
+    rows = records.withColumn("__record", F.from_csv("record", schema, parsing)).withColumn("__broken", broken)
+    return _numbered(rows, columns, errors, seen, numbered)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _header(columns: StructType, parsing: dict[str, str]) -> Column:
+    """Whether a record consists of the columns' names."""
+    texts = F.from_csv("record", ", ".join(f"c{i} string" for i in range(len(columns))), {k: v for k, v in parsing.items() if k not in ("mode", "columnNameOfCorruptRecord")})
+    same = F.lit(True)
+    for i, f in enumerate(columns):
+        same &= F.coalesce(texts[f"c{i}"], F.lit(f"_c{i}")) == f.name
+    return same
+
+
+def _numbered(rows: DataFrame, columns: StructType, errors: str, seen: Observation | None, numbered: bool) -> DataFrame:
+    """rows' __record as columns, with LINENUM and FILENAME where they are wanted; and __broken, what is rejected in any case."""
+    own = [c for c in ("FILENAME", "LINENUM") if numbered and c not in columns.names]
+    broken = F.col("__broken") if "__broken" in rows.columns else F.lit(None).cast("string")
+    fields = [F.when(broken.isNull(), F.col("__record")[f.name]).alias(f.name) for f in columns]
+    made = rows.select(*own, *fields, F.coalesce(broken, F.col("__record")["rejected"]).alias("rejected"))
+    return _kept(made, F.col("rejected").isNotNull(), errors, seen)
+
+
 def _told_apart(reader: DataFrameReader, kind: str, paths: list[str], errors: str, seen: Observation | None) -> DataFrame:
     df = reader.options(mode="FAILFAST" if errors == "fail" else "PERMISSIVE", columnNameOfCorruptRecord="rejected").format(kind).load(paths)
     # Spark wants another column than this one read along; every hash is in range
