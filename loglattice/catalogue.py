@@ -470,6 +470,41 @@ def files_line_numbers(spark: SparkSession, d: str) -> DataFrame:
     return read.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct(F.split("line", " ")[0]).alias("different"), F.count_distinct("FILENAME", "LINENUM").alias("places"))
 
 
+def _with_place(df: DataFrame, lines: str = "LINENUM") -> DataFrame:
+    """df with each line's place in all files, one after another by name: lines of the files before, and its own number."""
+    files = df.groupBy("FILENAME").agg(F.max(lines).alias("n"))
+    before = files.select(F.col("FILENAME").alias("f"), (F.sum("n").over(Window.orderBy("FILENAME")) - F.col("n")).alias("before"))
+    return df.join(before, F.col("FILENAME") == F.col("f")).withColumn("place", (F.col("before") + F.col(lines)).cast("long")).drop("f", "before")
+
+
+@query("""
+SELECT CAST(1 AS BIGINT) AS place, 'event_id,event_type' AS line
+UNION ALL SELECT 1 + row_number() OVER (ORDER BY ts, event_id), event_id || ',' || event_type FROM events
+""")
+def files_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Files that hold the records in order of time, from the first to the last, under one header: each line and its place."""
+    path = f"{shared_folder(spark)}/files-ordered-{uuid.uuid4().hex}"
+    writers.write(events(spark, d).select("event_id", "event_type", "ts"), path, "csv", order=["ts", "event_id"], drop=["ts"])
+    return _with_place(readers.read_lines(spark, path)).select("place", "line")
+
+
+@query("SELECT event_id, 2 * row_number() OVER (ORDER BY event_id) AS place, 'two' || chr(10) || 'lines, \"' || event_type || '\"' AS note FROM events")
+def files_csv_line_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The line on which each record begins, in CSV files with a header each whose records have two lines each."""
+    note = F.concat(F.lit('two\nlines, "'), F.col("event_type"), F.lit('"'))
+    path = f"{shared_folder(spark)}/files-csv-{uuid.uuid4().hex}"
+    writers.in_order(events(spark, d).select("event_id", note.alias("note")), ["event_id"]).write.options(header=True, escape='"').csv(path)
+    read = Pipeline.read(spark, path, "csv").frame
+    return _with_place(read.withColumn("own", F.col("LINENUM")), "own").select(F.col("event_id").cast("long").alias("event_id"), "place", "note")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS place, user_id FROM events")
+def files_jsonl_line_numbers(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/files-jsonl-{uuid.uuid4().hex}"
+    writers.write(events(spark, d).select("event_id", "user_id"), path, "jsonl", order=["event_id"])
+    return _with_place(Pipeline.read(spark, path, "jsonl").frame).select("event_id", "place", "user_id")
+
+
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 10 <> 0")
 def files_with_bad_lines(spark: SparkSession, d: str) -> DataFrame:
     """What a format doesn't take is skipped."""
@@ -493,6 +528,34 @@ def dirty_values(spark: SparkSession, d: str) -> DataFrame:
     return Pipeline(rows).derive(share="cast(100 as double) / cast(line as bigint)").filter("share > 0 and event_id > 0").keys(["event_id", "share"]).frame
 
 
+def _dirty(spark: SparkSession, d: str) -> Pipeline:
+    """A line that is no number for each seventh record."""
+    rows = events(spark, d).select("event_id", F.when(F.col("event_id") % 7 == 0, "x").otherwise(F.col("event_id").cast("string")).alias("line"))
+    return Pipeline(rows, order="event_id")
+
+
+@query("SELECT event_id, sum(event_id) OVER (ORDER BY event_id) AS total FROM events WHERE event_id % 7 <> 0")
+def dirty_values_inc(spark: SparkSession, d: str) -> DataFrame:
+    return _dirty(spark, d).inc("total", amount="cast(line as bigint)").keys(["event_id", "total"]).frame
+
+
+@query("SELECT event_id FROM events WHERE event_id % 7 <> 0 AND event_id <= 2000")
+def dirty_values_exit(spark: SparkSession, d: str) -> DataFrame:
+    return _dirty(spark, d).exit("cast(line as bigint) = 2000").keys(["event_id"]).frame
+
+
+@query("SELECT event_id, CAST(event_id + 1 AS VARCHAR) AS line FROM events WHERE event_id % 7 <> 0")
+def dirty_values_emit(spark: SparkSession, d: str) -> DataFrame:
+    return _dirty(spark, d).emit("array(cast(cast(line as bigint) + 1 as string))", primary=False).keys(["event_id", "line"]).frame
+
+
+@query("SELECT event_id, tags FROM (SELECT event_id, event_id % 5 AS tags FROM events) WHERE tags > 2")
+def dirty_values_items(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of none to four items, of which the third one is asked for."""
+    rows = events(spark, d).select("event_id", F.slice(F.array(*[F.lit(i) for i in range(5)]), F.lit(1), (F.col("event_id") % 5).cast("int")).alias("list"))
+    return Pipeline(rows).derive(third="list[2]", tags="cast(size(list) as bigint)").keys(["event_id", "tags"]).frame
+
+
 # -- formats ----------------------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..operators.levels import FAMILIES, level_of
 from ..operators.records import flatten
+from ..session import stored
 
 LINES = ("line", "jsonl", "csv", "tsv", "logfmt", "plain", "fields")
 
@@ -72,23 +73,24 @@ def family_of(level: Column) -> Column:
     return found
 
 
-def formatted(df: DataFrame, fmt: str = "logfmt", colours: bool = False) -> DataFrame:
-    """One column, line. Nested values are flattened for csv, tsv and fields. colours: line, logfmt and plain in those of
-    their levels, by a level's column or out of the text."""
-    if colours:
-        if fmt not in ("line", "logfmt", "plain"):
-            raise ValueError("only line, logfmt and plain have colours")
-        level = level_of(df, text="line" if df.columns == ["line"] else None)
-        return df.select(coloured(F.col("line") if fmt == "line" else _line(df, fmt), family_of(level)).alias("line"))
-    if fmt == "line":
-        if df.columns != ["line"]:
-            raise ValueError("only text can be written as lines; choose another format for columns")
-        return df
+def line_of(df: DataFrame, fmt: str = "logfmt", colours: bool = False) -> Column:
+    """df's rows as lines, of columns by name. colours: line, logfmt and plain in those of their levels, by a level's column or
+    out of the text. Nested values must be flat for csv, tsv and fields."""
+    if colours and fmt not in ("line", "logfmt", "plain"):
+        raise ValueError("only line, logfmt and plain have colours")
+    if fmt == "line" and df.columns != ["line"]:
+        raise ValueError("only text can be written as lines; choose another format for columns")
     if fmt not in LINES:
         raise ValueError(f"{fmt!r} is no line format; there are {', '.join(LINES)}")
+    line = F.col("line") if fmt == "line" else _line(df, fmt)
+    return coloured(line, family_of(level_of(df, text="line" if df.columns == ["line"] else None))) if colours else line
+
+
+def formatted(df: DataFrame, fmt: str = "logfmt", colours: bool = False) -> DataFrame:
+    """One column, line: line_of() of df, whose nested values are flattened for csv, tsv and fields."""
     if fmt in ("csv", "tsv", "fields"):
         df = flatten(df)
-    return df.select(_line(df, fmt).alias("line"))
+    return df.select(line_of(df, fmt, colours).alias("line"))
 
 
 def _line(df: DataFrame, fmt: str) -> Column:
@@ -115,13 +117,32 @@ class RunResult:
         return self.code or (1 if self.errors else 0 if self.rows else 2)
 
 
-def write(df: DataFrame, path: str, fmt: str = "logfmt", mode: str = "error", errors: int = 0, colours: bool = False) -> RunResult:
-    """Writes df as files of a folder; csv and tsv files have a header each. Rows are counted as they are written."""
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in ranges of order, each sorted: the files that are written of it, in order of their names, hold it in order.
+
+    Nulls come first. Spark samples df to find the ranges, so that it is evaluated twice. Rows of equal order may come in any; names of files sort as numbers do up to 100,000 of them.
+    """
+    columns = [F.col(f"`{c}`").asc_nulls_first() for c in order]
+    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
+def write(df: DataFrame, path: str, fmt: str = "logfmt", mode: str = "error", errors: int = 0, colours: bool = False, order: list[str] | None = None, drop: list[str] | None = None) -> RunResult:
+    """Writes df as files of a folder; csv and tsv files have a header each. Rows are counted as they are written.
+
+    order: columns by which the rows are put in order over all files, by name; csv and tsv then have one header, which
+    begins the first file, so that the files make one text. drop: columns of order that aren't written.
+    """
+    count = Observation()
+    if order and fmt == "parquet":
+        with stored(df.observe(count, F.count(F.lit(1)).alias("rows")), "in-order") as rows:
+            in_order(rows, order).drop(*(drop or [])).write.mode(mode).parquet(path)
+        return RunResult(count.get["rows"], errors)
+    if order:
+        return _write_lines_in_order(df, path, fmt, mode, errors, colours, order, drop or [], count)
     if fmt in ("csv", "tsv"):
         df = flatten(df)
     elif fmt != "parquet":
         df = formatted(df, fmt, colours)
-    count = Observation()
     writer = df.observe(count, F.count(F.lit(1)).alias("rows")).write.mode(mode)
     if fmt == "parquet":
         writer.parquet(path)
@@ -130,3 +151,18 @@ def write(df: DataFrame, path: str, fmt: str = "logfmt", mode: str = "error", er
     else:
         writer.text(path)
     return RunResult(count.get["rows"], errors)
+
+
+def _write_lines_in_order(df: DataFrame, path: str, fmt: str, mode: str, errors: int, colours: bool, order: list[str], drop: list[str], count: Observation) -> RunResult:
+    keys = [f"__o{i}" for i in range(len(order))]
+    keyed = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(order, keys, strict=True)], *[F.col(f"`{c}`") for c in df.columns if c not in drop])
+    if fmt in ("csv", "tsv", "fields"):
+        keyed = flatten(keyed)
+    shown = keyed.drop(*keys)
+    lines = keyed.select(F.lit(1).alias("__part"), *keys, line_of(shown, fmt, colours).alias("line")).observe(count, F.count(F.lit(1)).alias("rows"))
+    if fmt in ("csv", "tsv"):
+        names = df.sparkSession.createDataFrame([tuple(shown.columns)], [f"c{i}" for i in range(len(shown.columns))])
+        lines = lines.unionByName(names.select(F.lit(0).alias("__part"), csv_line(names, "\t" if fmt == "tsv" else ",").alias("line")), allowMissingColumns=True)
+    with stored(lines, "in-order") as rows:
+        in_order(rows, ["__part", *keys]).select("line").write.mode(mode).text(path)
+    return RunResult(count.get["rows"], errors)

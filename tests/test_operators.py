@@ -254,3 +254,69 @@ def test_results_do_not_depend_on_partitions(spark):
     df = spark.range(2000).withColumn("v", F.col("id") % 7)
     one, many = ([tuple(r) for r in ordering.trailing(x, 3, "id", {"s": lambda w: F.sum("v").over(w)}).orderBy("id").collect()] for x in (df.coalesce(1), df.repartition(8)))
     assert one == many
+
+
+def test_each_step_drops_records_that_fail(spark):
+    rows = spark.createDataFrame([(1, "4", [1]), (2, "x", [1, 2]), (3, "0", [1, 2, 3]), (4, None, None)], "n long, line string, tags array<int>")
+    p = Pipeline(rows, order="n")
+    left = lambda q: sorted(r.n for r in q.frame.select("n").collect())
+    assert left(p.derive(x="tags[2]")) == [3, 4]
+    assert left(p.derive(v="try_cast(line as int)").derive(x="n div v")) == [1, 2, 4]
+    assert left(p.derive(x="-(9223372036854775806 + n)")) == [1]
+    assert left(p.inc("k", amount="cast(line as int)")) == [1, 3, 4]
+    assert left(p.inc("k", when="cast(line as int) > 0")) == [1, 3, 4]
+    assert left(p.exit("cast(line as int) = 0")) == [1, 3]
+    assert left(p.exit("n = 3", message="cast(1 / cast(line as int) as string)")) == [1, 2, 4]
+    assert left(p.skip("cast(line as int) = 4")) == [3, 4]
+    assert left(p.select(x="cast(line as int)")) == [1, 3, 4]
+    emitted = p.emit("array(cast(cast(line as int) + 1 as string))").frame
+    assert sorted(r.line for r in emitted.where("line is not null").collect()) == ["0", "1", "4", "5"]
+
+
+def test_what_cannot_fail_is_not_guarded(spark, tmp_path, capsys):
+    spark.range(10).select("id", (F.col("id") * 1.5).alias("v"), F.lit("x").alias("s")).write.parquet(str(tmp_path / "t"))
+    p = Pipeline(spark.read.parquet(str(tmp_path / "t"))).derive(q="v * (1 - v)", u="upper(s) || 'y'", w="cast(id as double) + v").filter("id >= 5 and s = 'x'")
+    p.frame.explain()
+    shown = capsys.readouterr().out
+    assert "GreaterThanOrEqual(id,5)" in shown and "CollectMetrics" not in shown
+
+
+def test_a_step_without_records_counts_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("x",), ("1",)], "line string")
+    done = Pipeline(rows).derive(x="cast(line as int)").filter("false").write(str(tmp_path / "o"), "logfmt")
+    assert (done.rows, done.errors, done.exit_code) == (0, 0, 2)
+
+
+def test_long_headers_are_refused(spark, monkeypatch):
+    monkeypatch.setattr("loglattice.plans.pipeline.MOST_HEADER", 2)
+    p = Pipeline(spark.createDataFrame([("f", 1, "a")], "FILENAME string, LINENUM long, line string"), order="LINENUM", by=("FILENAME",))
+    head = spark.createDataFrame([("h",), (None,)], "line string")
+    assert p.begin(head, each=True).result().count() == 3
+    with pytest.raises(ValueError, match="2 rows at most"):
+        p.begin(head.union(head), each=True)
+
+
+def test_ordered_files(spark, tmp_path):
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        ordered_files(spark, tmp_path)
+    finally:
+        spark.conf.set(coalesce, "true")
+
+
+def ordered_files(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("LINENUM"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("line"), F.lit("f").alias("FILENAME"))
+    p = Pipeline(rows, order="LINENUM", by=("FILENAME",))
+    text = lambda path: [x for f in sorted((tmp_path / path).glob("part-*")) for x in f.read_text().splitlines()]
+    want = [r.line for r in rows.orderBy("LINENUM").collect()]
+    assert p.write(str(tmp_path / "a"), ordered=True).rows == 5000 and text("a") == want
+    assert len(list((tmp_path / "a").glob("part-*"))) > 1
+    framed = p.begin(spark.createDataFrame([("head",)], "line string")).end(line="cast(count(1) as string)")
+    assert framed.write(str(tmp_path / "b"), ordered=True).rows == 5002 and text("b") == ["head", *want, "5000"]
+    assert p.write(str(tmp_path / "c"), "csv", ordered=True).rows == 5000
+    assert text("c")[0] == "LINENUM,line,FILENAME" and [x.split(",")[1] for x in text("c")[1:]] == want
+    p.keys(["LINENUM", "line"]).write(str(tmp_path / "d"), "parquet", ordered=True)
+    assert [r.line for f in sorted((tmp_path / "d").glob("part-*")) for r in spark.read.parquet(str(f)).collect()] == want
+    with pytest.raises(ValueError, match="order"):
+        Pipeline(rows).write(str(tmp_path / "e"), ordered=True)
