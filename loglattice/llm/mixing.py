@@ -2,8 +2,8 @@
 
 Each document draws an exponential key scaled by its quality weight; within a source, documents are ordered by
 key and their sizes summed up to the token budget. Complete epochs precede: a budget of 1.4 times the source
-takes every document once, then a sample of 0.4. Documents are never cut: where the running sum leaves a gap,
-the one document that is left and closes it best follows.
+takes every document once, then a sample of 0.4. The document at which a budget ends is taken in part; where documents must
+stay whole, as in the pipeline, the one document that is left and closes the gap best follows instead.
 
 A source may hold a third of all rows, so running sums are taken in slices of the key's range and then offset.
 Edge cases: a null text has size 0 and takes no words; a null source is a source, the last in order; an empty
@@ -50,8 +50,12 @@ def sized_rows(docs: DataFrame, quality: Column | None, seed: int) -> DataFrame:
     return written(rows.withColumn("key", -F.log(uniform("doc_id", F.lit(seed))) / F.col("quality")), "mixing-rows", row_id="row_id")
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, quality: Column | None = None, seed: int = 7, rows: DataFrame | None = None) -> DataFrame:
-    """doc_id, text_key, source, size, source_size, target, copies, taken: one row for each row of docs."""
+def take_words(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, quality: Column | None = None, seed: int = 7, rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_key, source, size, source_size, target, taken, and what copies are made from: one row for each row of docs.
+
+    taken: the words that the mix takes of the document, repeats counted. The document at which its source's budget ends is
+    taken in part, up to the budget's last word, so that each source meets its target to the word.
+    """
     rows = sized_rows(docs, quality, seed) if rows is None else rows
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("quality").alias("q"))
     sources = written(source_targets(sources, share, most, weights).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mixing-sources")
@@ -62,12 +66,19 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     before = totals.select(F.col("s").alias("s2"), F.col("slice").alias("slice2"), (F.sum("of_slice").over(Window.partitionBy("s").orderBy("slice")) - F.col("of_slice")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("s", "slice").orderBy("key", "doc_id", "size", "text_key", "row_id").rowsBetween(Window.unboundedPreceding, 0))
     summed = cut.withColumn("inside", inside).join(before, F.col("s").eqNullSafe(F.col("s2")) & (F.col("slice") == F.col("slice2")))
-    chosen = written(summed.withColumn("upto", F.col("before") + F.col("inside")).withColumn("chosen", (F.col("upto") <= F.col("rest")) & (F.col("epochs") < most)).select("row_id", "doc_id", "text_key", "source", "size", "source_size", "target", "epochs", "rest", "key", "upto", "chosen"), "mixing-chosen")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("rest")) - F.col("upto") + F.col("size")))
+    return written(summed.withColumn("upto", F.col("before") + F.col("inside")).withColumn("chosen", (F.col("upto") <= F.col("rest")) & (F.col("epochs") < most)).select("row_id", "doc_id", "text_key", "source", "size", "source_size", "target", "epochs", "rest", "key", "upto", "chosen", (F.col("epochs") * F.col("size") + F.when(F.col("epochs") < most, part).otherwise(0)).cast("long").alias("taken")), "mixing-chosen")
+
+
+def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, quality: Column | None = None, seed: int = 7, rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_key, source, size, source_size, target, taken, as take_words has them, and copies: how often the mix takes
+    the document where documents stay whole. Then one document a source closes the gap, if that brings it nearer its target."""
+    chosen = take_words(docs, share, most, weights, quality, seed, rows)
     gaps = chosen.groupBy("source").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("chosen"), F.col("upto"))), F.lit(0))).alias("gap")).select(F.col("source").alias("s"), "gap")
     fits = chosen.where(~F.col("chosen") & (F.col("epochs") < most)).join(gaps, F.col("source").eqNullSafe(F.col("s")))
     closing = fits.groupBy("s").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "row_id", "gap")).alias("f")).where("f.off < f.gap").select(F.col("s"), F.col("f.row_id").alias("closing_id"))
     copies = (F.col("epochs") + (F.col("chosen") | F.coalesce(F.col("row_id") == F.col("closing_id"), F.lit(False))).cast("int")).cast("long")
-    return chosen.join(closing, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", copies).select("doc_id", "text_key", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return chosen.join(closing, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", copies).select("doc_id", "text_key", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", "taken")
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) -> DataFrame:

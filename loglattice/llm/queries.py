@@ -16,7 +16,7 @@ from .lexical_search import lexical_search
 from .license_scan import scan_licences
 from .line_dedup import lines_by_document
 from .minhash_dedup import near_duplicates
-from .mixing import mix_sources
+from .mixing import take_words
 from .packing import packed_pieces
 from .prefix_trie import rebuilt_trie
 from .quality_rules import judge_quality
@@ -39,7 +39,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return take_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
 def op4_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
