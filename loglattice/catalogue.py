@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as fn
 from .functions.patterns import PATTERNS, extract_pattern
-from .operators import chunking, joins, levels, ordering, records, sessions
+from .operators import chunking, joins, levels, ordering, records, sessions, sketches
 from .plans.pipeline import Pipeline
 from .session import shared_folder
 from .sources import readers, writers
@@ -749,3 +749,49 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SESSIONS} SELECT event_id, user_id, session_no FROM numbered")
 def session_numbers(spark: SparkSession, d: str) -> DataFrame:
     return sessions.sessionize(events(spark, d), "ts", 8 * 3600, ["user_id"]).select("event_id", "user_id", "session_no")
+
+
+# -- sketches: of each day and type, stored, and merged for coarser groups ---------------------------------------
+
+
+def _daily(spark: SparkSession, d: str, **of: sketches.Sketch) -> DataFrame:
+    """A stored table of sketches by day and type."""
+    path = f"{shared_folder(spark)}/files-sketches-{uuid.uuid4().hex}"
+    sketches.sketched(events(spark, d).withColumn("day", F.to_date("ts")), ["day", "event_type"], **of).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT event_type, count(*) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS users, true AS near_it FROM events GROUP BY event_type UNION ALL SELECT NULL, count(*), CAST(count(DISTINCT user_id) AS BIGINT), true FROM events")
+def sketch_distinct_users(spark: SparkSession, d: str) -> DataFrame:
+    """Users of each type and in all, merged from those of days: whether the estimate is within three standard errors of the count."""
+    of = {"users": sketches.Distinct("user_id")}
+    daily = _daily(spark, d, **of)
+    both = sketches.merged(daily, ["event_type"], **of).unionByName(sketches.merged(daily, [], **of), allowMissingColumns=True)
+    found = sketches.estimated(both, **of).withColumnsRenamed({"users": "estimate", "event_type": "kind"})
+    exact = events(spark, d).rollup("event_type").agg(F.count_distinct("user_id").alias("users"))
+    return found.join(exact, F.col("kind").eqNullSafe(F.col("event_type"))).select("event_type", "n", "users", (F.abs(F.col("estimate") - F.col("users")) <= 3 * of["users"].error * F.col("users")).alias("near_it"))
+
+
+@query("SELECT event_type, CAST(q AS DOUBLE) AS q, true AS near_it FROM (SELECT DISTINCT event_type FROM events), (VALUES (0.5), (0.9), (0.99)) AS t(q)")
+def sketch_value_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of each type's values, merged from those of days: whether the share of values up to each is right within the error."""
+    of = {"values": sketches.Quantiles("value")}
+    found = sketches.estimated(sketches.merged(_daily(spark, d, **of), ["event_type"], **of), **of)
+    wanted = found.select(F.col("event_type").alias("kind"), F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in of["values"].at]).alias("q"), F.col("values").alias("v"))).alias("x")).select("kind", "x.q", "x.v")
+    shares = events(spark, d).join(wanted, F.col("event_type") == F.col("kind")).groupBy("event_type", "q").agg(F.avg((F.col("value") <= F.col("v")).cast("int")).alias("upto"), F.avg((F.col("value") < F.col("v")).cast("int")).alias("under"))
+    error = of["values"].error
+    return shares.select("event_type", F.col("q").cast("double").alias("q"), ((F.col("under") - error <= F.col("q")) & (F.col("q") <= F.col("upto") + error)).alias("near_it"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_both, true AS near_it, true AS rest_near FROM (SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error')")
+def sketch_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Users who purchase and have errors, and who purchase and have none, from stored sets."""
+    of = {"users": sketches.Members("user_id")}
+    sets = sketches.merged(_daily(spark, d, **of), ["event_type"], **of)
+    bought, failed = (sets.where(F.col("event_type") == kind).select(F.col("users").alias(kind)) for kind in ("purchase", "error"))
+    kinds = events(spark, d).groupBy("user_id").agg(F.max((F.col("event_type") == "purchase").cast("long")).alias("b"), F.max((F.col("event_type") == "error").cast("long")).alias("f"))
+    exact = kinds.agg(F.sum(F.col("b") * F.col("f")).alias("n_both"), F.sum(F.col("b") * (1 - F.col("f"))).alias("rest"), F.count_if((F.col("b") + F.col("f")) > 0).alias("either"))
+    near = lambda estimate, n: (F.abs(estimate - F.col(n)) <= 3 * of["users"].error * F.col("either"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    joined = one(exact).join(one(bought), "one").join(one(failed), "one")
+    return joined.select("n_both", near(sketches.common_members(F.col("purchase"), F.col("error")), "n_both").alias("near_it"), near(sketches.members_without(F.col("purchase"), F.col("error")), "rest").alias("rest_near"))
