@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as fn
 from .functions.patterns import PATTERNS, extract_pattern
-from .operators import chunking, joins, levels, ordering, records, sessions, sketches
+from .operators import chunking, folds, joins, levels, ordering, records, sessions, sketches
 from .plans.pipeline import Pipeline
 from .session import shared_folder
 from .sources import readers, writers
@@ -795,3 +795,40 @@ def sketch_overlap(spark: SparkSession, d: str) -> DataFrame:
     one = lambda df: df.withColumn("one", F.lit(1))
     joined = one(exact).join(one(bought), "one").join(one(failed), "one")
     return joined.select("n_both", near(sketches.common_members(F.col("purchase"), F.col("error")), "n_both").alias("near_it"), near(sketches.members_without(F.col("purchase"), F.col("error")), "rest").alias("rest_near"))
+
+
+# -- folds and reports --------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id % 16 AS file, event_type, CAST(date_part('hour', ts) AS VARCHAR) AS hour, count(*) AS n FROM events GROUP BY ALL")
+def fold_nested_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters in maps in maps, for each of a few files, as the footer of each, and then as rows."""
+    rows = events(spark, d).select((F.col("user_id") % 16).alias("FILENAME"), "event_id", "event_type", F.hour("ts").alias("hour"))
+    footer = Pipeline(rows, order="event_id", by=("FILENAME",)).fold(folds.counters("event_type", "hour"), "map<string,map<string,bigint>>", ["event_type", "hour"]).result().where("part = 2")
+    by_type = footer.select(F.col("FILENAME").alias("file"), F.explode("state").alias("event_type", "hours"))
+    return by_type.select("file", "event_type", F.explode("hours").alias("hour", "n"))
+
+
+@query("SELECT event_type, count(*) AS n, max(value) AS largest, max_by(event_id, (value, -event_id)) AS event_id FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def fold_largest(spark: SparkSession, d: str) -> DataFrame:
+    """A fold with a result of its own: the number of records and the record of the largest value."""
+    better = lambda a, b: a if b["event_id"] is None or (a["event_id"] is not None and (a["value"], -a["event_id"]) >= (b["value"], -b["event_id"])) else b
+    fold = folds.Fold(lambda: {"n": 0, "value": None, "event_id": None}, lambda s, r: better(s, r) | {"n": s["n"] + 1}, lambda a, b: better(a, b) | {"n": a["n"] + b["n"]}, lambda s: {"n": s["n"], "largest": s["value"], "event_id": s["event_id"]})
+    return folds.folded(events(spark, d).where("value is not null"), fold, "n bigint, largest double, event_id bigint", ["event_type"], ["event_id", "value"]).select("event_type", "state.*")
+
+
+@query("""
+WITH e AS (SELECT *, event_id % 7 = 0 AS bad FROM events), f AS (SELECT * FROM e WHERE event_type <> 'view'),
+n AS (SELECT (SELECT count(*) FROM e) AS n_e, (SELECT count(*) FROM f) AS n_f, (SELECT count(*) FROM f WHERE bad) AS bad, (SELECT count(*) FROM f WHERE NOT bad AND event_type = 'error') AS errors, (SELECT count(*) FROM f WHERE NOT bad AND event_type = 'error' AND user_id % 2 = 0) AS even)
+SELECT 1 AS place, 'input' AS step, n_e AS came, CAST(0 AS BIGINT) AS dropped, CAST(0 AS BIGINT) AS wrong, n_e AS remained FROM n
+UNION ALL SELECT 2, 'filter', n_e, n_e - n_f, 0, n_f FROM n
+UNION ALL SELECT 3, 'derive', n_f, 0, bad, n_f - bad FROM n
+UNION ALL SELECT 4, 'levels', n_f - bad, n_f - bad - errors, 0, errors FROM n
+UNION ALL SELECT 5, 'emit', errors, -errors, 0, 2 * errors FROM n
+UNION ALL SELECT 6, 'skip', 2 * errors, 2 * even, 0, 2 * (errors - even) FROM n
+""")
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    """A run's records by step: those that came, went, were wrong and left."""
+    rows = events(spark, d).select("event_id", "user_id", F.col("event_type").alias("level"), F.when(F.col("event_id") % 7 == 0, "x").otherwise("1").alias("line"))
+    p = Pipeline(rows, order="event_id").reported().filter("level <> 'view'").derive(n="cast(line as int)").levels(include=["error"]).emit("array(line)", primary=True).skip("user_id % 2 = 0")
+    return p.write(f"{shared_folder(spark)}/files-report-{uuid.uuid4().hex}", "jsonl").report.frame(spark)

@@ -5,14 +5,16 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import evaluates, passes
-from ..operators import chunking, levels, ordering, records
+from ..operators import chunking, folds, levels, ordering, records
 from ..sources import readers, writers
 
 
@@ -62,6 +64,45 @@ def counted(seen: Observation) -> dict[str, int]:
         return {}
 
 
+@dataclass(frozen=True)
+class StepCount:
+    """What a step did: records that came to it, that it dropped as its expression failed on them (wrong), and that left it."""
+
+    step: str
+    came: int
+    wrong: int
+    left: int
+
+    @property
+    def dropped(self) -> int:
+        """Records that the step took out on purpose; below 0, as many as it added."""
+        return self.came - self.wrong - self.left
+
+
+@dataclass(frozen=True)
+class Report:
+    """A run by steps, and what its last records have: the columns that are not always null, and the families of their levels."""
+
+    steps: tuple[StepCount, ...]
+    keys: tuple[str, ...]
+    levels: dict[str, int]
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        rows = [(i, s.step, s.came, s.dropped, s.wrong, s.left) for i, s in enumerate(self.steps, 1)]
+        return spark.createDataFrame(rows, "place int, step string, came long, dropped long, wrong long, remained long")
+
+
+def step(method: Callable) -> Callable:
+    """A step of a pipeline that counts what it does, where a report is wanted."""
+
+    @functools.wraps(method)
+    def run(self, *args, **kwargs):
+        made = method(self, *args, **kwargs)
+        return made._observed(method.__name__, self) if self.counts else made
+
+    return run
+
+
 @dataclass(frozen=True)
 class Pipeline:
     """frame: the records so far. order: the column that orders them; by: columns within which order holds, a file's name by default.
@@ -78,6 +119,8 @@ class Pipeline:
     errors: str = "skip"
     seen: tuple[Observation, ...] = ()
     common_only: bool = False
+    #: name of each step, where its records are counted, and where those that are wrong are; None: no report.
+    counts: tuple[tuple[str, Observation, tuple[Observation, ...]], ...] | None = None
 
     @classmethod
     def read(cls, spark: SparkSession, paths: str | list[str], fmt: str | None = None, errors: str = "skip", **options) -> Pipeline:
@@ -100,6 +143,23 @@ class Pipeline:
         frame = self.frame.withColumn("__ok", evaluates(e, hashable)).observe(failed, F.count_if(~F.col("__ok")).alias("errors"))
         return replace(self, frame=frame.where("__ok").drop("__ok"), seen=(*self.seen, failed))
 
+    def reported(self) -> Pipeline:
+        """From here on each step counts its records, for write's report. What counts keeps filters from passing it."""
+        return replace(self, counts=())._observed("input", self)
+
+    def _observed(self, name: str, before: Pipeline) -> Pipeline:
+        left = Observation()
+        return replace(self, frame=self.frame.observe(left, F.count(F.lit(1)).alias("left")), counts=(*(self.counts or ()), (name, left, self.seen[len(before.seen):])))
+
+    def _report(self, last: Observation) -> Report:
+        steps, came = [], None
+        for name, left, wrong in self.counts:
+            n, bad = counted(left).get("left", 0), sum(counted(x).get("errors", 0) for x in wrong)
+            steps.append(StepCount(name, n if came is None else came, bad, n))
+            came = n
+        found = counted(last)
+        return Report(tuple(steps), tuple(k[4:] for k, n in found.items() if k.startswith("key_") and n), {k[6:]: n for k, n in found.items() if k.startswith("level_") and n})
+
     def _with(self, frame: DataFrame) -> Pipeline:
         return replace(self, frame=frame)
 
@@ -108,6 +168,7 @@ class Pipeline:
             raise ValueError("this step needs an order: Pipeline(frame, order=...)")
         return self.order
 
+    @step
     def filter(self, condition: Column | str) -> Pipeline:
         """Rows whose value passes as true; null doesn't."""
         kind = self.frame.select(expression(condition).alias("c")).dtypes[0][1]
@@ -115,6 +176,7 @@ class Pipeline:
         p = self._without_failures(value)
         return p._with(p.frame.where(passes(value, kind)))
 
+    @step
     def eval(self, value: Column | str) -> Pipeline:
         """The value becomes the record's line; rows where it is null go."""
         keep = [c for c in (self.order, *self.by) if c and c != "line"]
@@ -123,6 +185,7 @@ class Pipeline:
         made = p.frame.withColumn("__line", line)
         return p._with(made.where("__line is not null").select(*keep, F.col("__line").alias("line")))
 
+    @step
     def derive(self, *scratch: str, **columns: Column | str | None) -> Pipeline:
         """New or changed columns, one after another; None deletes one; names that start with _ are not kept."""
         p = self
@@ -134,6 +197,7 @@ class Pipeline:
                 p = p._with(p.frame.withColumn(name, expression(value)))
         return p._with(p.frame.drop(*[c for c in columns if c.startswith("_")], *scratch))
 
+    @step
     def select(self, **columns: Column | str) -> Pipeline:
         """Records of new columns, from lines or other columns."""
         keep, p = [c for c in (self.order, *self.by) if c and c not in columns], self
@@ -141,9 +205,11 @@ class Pipeline:
             p = p._without_failures(expression(value))
         return p._with(p.frame.select(*keep, *[expression(v).alias(k) for k, v in columns.items()]))
 
+    @step
     def extract_vars(self, template: str, line: str = "line") -> Pipeline:
         return self._with(records.extract_vars(self.frame, template, line))
 
+    @step
     def levels(self, include: list[str] | None = None, exclude: list[str] | None = None, level: str | None = None, text: str | None = None) -> Pipeline:
         text = text or ("line" if level is None and "line" in self.frame.columns and not any(k in self.frame.columns for k in levels.LEVEL_KEYS) else None)
         return self._with(levels.filter_levels(self.frame, include, exclude, level, text))
@@ -153,12 +219,14 @@ class Pipeline:
             raise ValueError("a level map needs records with a level")
         return levels.level_map(self.frame, self._ordered(), width, **options)
 
+    @step
     def chunk(self, lines: int | None = None, start: str | None = None, delimiter: str | None = None) -> Pipeline:
         if "line" not in self.frame.columns:
             raise ValueError("only lines can be chunked")
         made = chunking.chunked(self.frame, lines, start, delimiter, order=self._ordered(), by=list(self.by))
         return replace(self, frame=made.withColumnRenamed("text", "line"), order="start_line") if made is not self.frame else self
 
+    @step
     def window(self, n: int, **columns) -> Pipeline:
         """Columns over the last n records that reach this step: functions from a window, see operators.ordering.
 
@@ -166,6 +234,7 @@ class Pipeline:
         """
         return self._with(ordering.trailing(self.frame, n, self._ordered(), columns, list(self.by)))
 
+    @step
     def inc(self, name: str, by: list[str] | None = None, amount: Column | str | None = None, when: Column | str | None = None) -> Pipeline:
         """A running count or sum, within by."""
         value = F.lit(1).cast("long") if amount is None else expression(amount)
@@ -174,15 +243,18 @@ class Pipeline:
         p = self._without_failures(value)
         return p._with(ordering.running_total(p.frame, value, name, self._ordered(), by if by is not None else list(self.by)))
 
+    @step
     def emit(self, emissions: Column | str, primary: bool = True) -> Pipeline:
         p = self._without_failures(expression(emissions))
         return p._with(records.emit(p.frame, expression(emissions), primary=primary))
 
+    @step
     def skip(self, condition: Column | str) -> Pipeline:
         value = expression(condition)
         p = self._without_failures(value)
         return p._with(p.frame.where(~F.coalesce(value, F.lit(False))))
 
+    @step
     def exit(self, condition: Column | str, message: Column | str | None = None) -> Pipeline:
         """Nothing after the first record where condition holds, within each file."""
         p = self._without_failures(expression(condition))
@@ -208,9 +280,15 @@ class Pipeline:
         found = self.frame.groupBy(*self.by).agg(*[expression(v).alias(k) for k, v in aggregates.items()])
         return replace(self, footer=found)
 
+    def fold(self, fold: folds.Fold, schema: str, columns: list[str] | None = None, name: str = "state") -> Pipeline:
+        """A footer of what a fold makes of the records that reach this step; one for each of by, that is each file."""
+        return replace(self, footer=folds.folded(self.frame, fold, schema, list(self.by), columns, name))
+
+    @step
     def keys(self, names: list[str]) -> Pipeline:
         return self._with(records.keys(self.frame, names))
 
+    @step
     def remove_keys(self, names: list[str]) -> Pipeline:
         return self._with(records.remove_keys(self.frame, names))
 
@@ -242,7 +320,12 @@ class Pipeline:
         fmt = fmt or ("line" if text else "logfmt")
         if self.common_only and fmt in ("csv", "tsv"):
             raise ValueError("common keys have no fixed columns, as csv and tsv need: name them by keys()")
+        last = Observation()
+        if self.counts is not None:
+            level = writers.family_of(levels.level_of(self.frame, text="line" if "line" in self.frame.columns else None))
+            seen = [F.count(F.col(f"`{c}`")).alias(f"key_{c}") for c in frame.columns] + [F.count_if(level == f).alias(f"level_{f}") for f in levels.FAMILIES]
+            frame = frame.observe(last, *seen)
         done = writers.write(frame, path, fmt, mode, colours=colours, order=order, drop=drop)
         counts = [counted(x) for x in self.seen]
         read = next((c["read"] for c in counts if "read" in c), None)
-        return replace(done, errors=sum(c.get("errors", 0) for c in counts), code=code, read=read)
+        return replace(done, errors=sum(c.get("errors", 0) for c in counts), code=code, read=read, report=None if self.counts is None else self._report(last))

@@ -106,6 +106,8 @@ class RunResult:
     errors: int = 0
     code: int | None = None
     read: int | None = None
+    #: counts by step and what was seen, where a pipeline was asked for them
+    report: object | None = None
 
     @property
     def skipped(self) -> int | None:
