@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,3 +64,63 @@ def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str
     query = writer.start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+CHUNKS = "start_line long, n_lines long, text string, whole boolean"
+
+
+def chunks(lines: DataFrame, key: str, order: str, line: str = "line", start: str | None = None, delimiter: str | None = None, end: str | None = None, timeout: str | None = "1 minute", most_lines: int = 100_000) -> DataFrame:
+    """Multi-line records of a stream of numbered lines, within key, as operators.chunking has them of stored ones.
+
+    A chunk starts at each line that the regular expression `start` finds, or lies between lines equal to `delimiter` but for
+    white space around. It goes out once the next one begins; the last one of a key after `timeout` without lines, or
+    with the line where the boolean column `end` is true. State holds the unfinished chunk's lines, one record each,
+    most_lines at most: of a longer one, parts go out, of which only the last may be `whole`. Lines of a key must come in
+    order over batches; within a batch they are sorted. With a timeout Spark runs batches until the stream is stopped, so
+    one that ends with what is available now has none (timeout=None). Lines that come again, with numbers already seen, are left out.
+    """
+    if (start is None) == (delimiter is None):
+        raise ValueError("either start or delimiter says where chunks begin")
+    begins = re.compile(start) if start is not None else None
+    between = delimiter.strip() if delimiter is not None else None
+    kind = dict(lines.dtypes)[key]
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, held, last = state.get if state.exists else (-1, [], -1)
+        held, out = list(held), []
+
+        def flush(whole: bool = True) -> None:
+            nonlocal held
+            if held:
+                out.append((group[0], first, len(held), "\n".join(held), whole))
+            held = []
+
+        if state.hasTimedOut:
+            flush()
+        else:
+            rows = pd.concat(list(frames)).sort_values(order, kind="stable", ignore_index=True)
+            for at, text, ends in zip(rows[order].tolist(), rows[line].tolist(), rows["__end"].tolist(), strict=True):
+                if at <= last:
+                    continue
+                last, text = at, text or ""
+                if between is not None and text.strip() == between:
+                    flush()
+                else:
+                    if begins is not None and begins.search(text):
+                        flush()
+                    elif len(held) >= most_lines:
+                        flush(whole=False)
+                    first = first if held else at
+                    held.append(text)
+                if ends:
+                    flush()
+        state.update((first, held, last))
+        if held and timeout is not None:
+            state.setTimeoutDuration(timeout_ms)
+        if out:
+            yield pd.DataFrame(out, columns=[key, "start_line", "n_lines", "text", "whole"])
+
+    number, unit = (timeout or "0 seconds").split()
+    timeout_ms = int(float(number) * {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")])
+    numbered = lines.select(key, F.col(order).cast("long").alias(order), line, (F.coalesce(F.col(end), F.lit(False)) if end else F.lit(False)).alias("__end"))
+    return numbered.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {CHUNKS}", "first long, held array<string>, last long", "append", GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.ProcessingTimeTimeout)
