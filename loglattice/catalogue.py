@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as fn
+from .functions import own
 from .functions.patterns import PATTERNS, extract_pattern
 from .operators import chunking, folds, joins, levels, ordering, records, sessions, sketches
 from .plans.pipeline import Pipeline
@@ -608,6 +609,31 @@ def access_log_read(spark: SparkSession, d: str) -> DataFrame:
     return readers.parse(pages.select("page_id", line.alias("line")), "combined").select("page_id", "method", "path", "status", "size", "referer")
 
 
+@query("SELECT event_id, NULL::BIGINT AS pri, 'Feb  ' || (1 + event_id % 9) || ' 08:00:00' AS ts, 'h' || user_id AS host, 'app' AS prog, CASE WHEN event_id % 2 = 0 THEN event_id END AS pid, event_type || ': seen' AS msg FROM events")
+def syslog_old_read(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the older kind, without a priority, half of them without a process number."""
+    pid = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]"))).otherwise("")
+    line = F.concat(F.lit("Feb  "), (1 + F.col("event_id") % 9).cast("string"), F.lit(" 08:00:00 h"), F.col("user_id").cast("string"), F.lit(" app"), pid, F.lit(": "), F.col("event_type"), F.lit(": seen"))
+    return readers.parse(events(spark, d).select("event_id", line.alias("line")), "syslog").select("event_id", "pri", "ts", "host", "prog", "pid", "msg")
+
+
+@query("""
+SELECT event_id, '10.0.0.' || (event_id % 250) AS ip, CASE WHEN event_id % 2 = 0 THEN 'web' END AS host, 'u' || user_id AS "user", CASE WHEN event_id % 2 = 0 THEN 443 END AS port, CASE WHEN event_id % 2 = 0 THEN 'k=' || user_id END AS query, 'POST' AS method, '/' || event_type AS path, 200 AS status,
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS size, CASE WHEN event_id % 2 = 0 THEN 'UA' END AS ua, CASE WHEN event_id % 4 = 0 THEN '0.25 0.5' END AS timing
+FROM events
+""")
+def access_log_kinds_read(spark: SparkSession, d: str) -> DataFrame:
+    """Extended and common lines in turn."""
+    text = lambda c: F.col(c).cast("string")
+    size = F.when(F.col("event_id") % 3 == 0, "-").otherwise(text("event_id"))
+    ip, request = F.concat(F.lit("10.0.0."), (F.col("event_id") % 250).cast("string")), F.concat(F.lit('[01/Feb/2024:08:00:00 +0000] "POST /'), F.col("event_type"), F.lit(' HTTP/1.1" '))
+    timing = F.when(F.col("event_id") % 4 == 0, " 0.25 0.5").otherwise("")
+    extended = F.concat(ip, F.lit(" web - u"), text("user_id"), F.lit(" 443 "), request, F.lit('"k='), text("user_id"), F.lit('" 200 '), size, F.lit(' "-" "UA"'), timing)
+    common = F.concat(ip, F.lit(" - u"), text("user_id"), F.lit(" "), request, F.lit("200 "), size)
+    lines = events(spark, d).select("event_id", F.when(F.col("event_id") % 2 == 0, extended).otherwise(common).alias("line"))
+    return readers.parse(lines, "combined").select("event_id", "ip", "host", "user", "port", "query", "method", "path", "status", "size", "ua", "timing")
+
+
 @query("SELECT p_partkey, string_split(p_name, ' ')[1] AS f1, string_split(p_name, ' ')[2] AS f2 FROM part")
 def fields_read(spark: SparkSession, d: str) -> DataFrame:
     return readers.parse(table(spark, d, "part").select("p_partkey", F.concat(F.lit("  "), F.col("p_name")).alias("line")), "fields", width=2)
@@ -832,3 +858,48 @@ def run_report(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select("event_id", "user_id", F.col("event_type").alias("level"), F.when(F.col("event_id") % 7 == 0, "x").otherwise("1").alias("line"))
     p = Pipeline(rows, order="event_id").reported().filter("level <> 'view'").derive(n="cast(line as int)").levels(include=["error"]).emit("array(line)", primary=True).skip("user_id % 2 = 0")
     return p.write(f"{shared_folder(spark)}/files-report-{uuid.uuid4().hex}", "jsonl").report.frame(spark)
+
+
+# -- functions of one's own ---------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross, CASE WHEN l_quantity >= 25 THEN 'large' ELSE 'small' END AS size, part, l_quantity * part / 3 AS share FROM lineitem, (VALUES (1), (2)) AS t(part) WHERE l_returnflag = 'R'")
+def own_functions(spark: SparkSession, d: str) -> DataFrame:
+    """SQL functions of one's own in steps, one of which replaces an earlier one, and a table function of two rows a record."""
+    own.define(
+        spark, "loglattice_net(price DOUBLE, discount DOUBLE) RETURNS DOUBLE RETURN price", "loglattice_size(n DOUBLE) RETURNS STRING RETURN CASE WHEN n >= 25 THEN 'large' ELSE 'small' END",
+        "loglattice_net(price DOUBLE, discount DOUBLE) RETURNS DOUBLE RETURN price * (1 - discount)", "loglattice_thirds(n DOUBLE) RETURNS TABLE (part INT, share DOUBLE) RETURN SELECT part, n * part / 3 AS share FROM explode(array(1, 2)) AS t(part)",
+    )
+    lines = Pipeline(table(spark, d, "lineitem")).filter("l_returnflag = 'R'").derive(gross="loglattice_net(l_extendedprice, l_discount) * (1 + l_tax)", size="loglattice_size(l_quantity)")
+    lines.keys(["l_orderkey", "l_linenumber", "gross", "size", "l_quantity"]).frame.createOrReplaceTempView("loglattice_lines")
+    return spark.sql("SELECT l_orderkey, l_linenumber, gross, size, part, share FROM loglattice_lines, LATERAL loglattice_thirds(l_quantity)")
+
+
+class _Runs:
+    """Runs of one type of events: the first one's id, and how many."""
+
+    def __init__(self):
+        self.run = None
+
+    def eval(self, row):
+        if self.run and self.run[1] == row["event_type"]:
+            self.run[3] += 1
+            return
+        if self.run:
+            yield tuple(self.run)
+        self.run = [row["user_id"], row["event_type"], row["event_id"], 1]
+
+    def terminate(self):
+        if self.run:
+            yield tuple(self.run)
+
+
+@query("""
+WITH m AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS begins FROM events),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m)
+SELECT user_id, event_type, min(event_id) AS first_id, count(*) AS n FROM r GROUP BY user_id, event_type, run
+""")
+def table_function_by_user(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's runs of events of one type, by a table function that sees a user's events in order."""
+    runs = F.udtf(_Runs, returnType="user_id long, event_type string, first_id long, n long")
+    return own.by_groups(events(spark, d).select("user_id", "event_id", "event_type"), runs, ["user_id"], ["event_id"])

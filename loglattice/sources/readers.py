@@ -188,8 +188,15 @@ def _unquoted(value: Column) -> Column:
     return F.when(~value.startswith('"'), value).when(plain, inner).otherwise(F.array_join(F.transform(parts, meant), ""))
 
 
-def _group(line: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(line, pattern, i)
+#: Stands between a match's groups; lines that hold it are matched group by group.
+BETWEEN = "\x01"
+
+
+def _groups(line: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern for whole lines, by one match; null for other lines."""
+    at_once = F.split(F.regexp_replace(line, pattern, BETWEEN.join(f"${i}" for i in range(1, n + 1))), BETWEEN)
+    one_by_one = F.array(*[F.regexp_extract(line, pattern, i) for i in range(1, n + 1)])
+    return F.when(line.rlike(pattern), F.when(line.contains(BETWEEN), one_by_one).otherwise(at_once))
 
 
 def _given(value: Column) -> Column:
@@ -198,34 +205,49 @@ def _given(value: Column) -> Column:
 
 def syslog(line: Column) -> Column:
     """pri, facility, severity, ts, host, prog, pid, msgid, msg; null for other lines and priorities over 191."""
-    new, old = line.rlike(RFC5424), line.rlike(RFC3164)
-    pri = F.when(new, _group(line, RFC5424, 1).try_cast("bigint"))
-    either = lambda i, j: F.when(new, _group(line, RFC5424, i)).otherwise(_group(line, RFC3164, j))
-    record = F.struct(
-        pri.alias("pri"), F.shiftright(pri, 3).alias("facility"), pri.bitwiseAND(F.lit(7)).alias("severity"), either(3, 1).alias("ts"), either(4, 2).alias("host"),
-        _given(either(5, 3)).alias("prog"), _given(either(6, 4)).try_cast("bigint").alias("pid"), F.when(new, _given(_group(line, RFC5424, 7))).alias("msgid"), either(9, 5).alias("msg"),
-    )
-    return F.when((new & (pri <= 191)) | (~new & old), record)
+
+    def record(found: Column) -> Column:
+        new, old = found["new"], found["old"]
+        pri = new[0].try_cast("bigint")
+        either = lambda i, j: F.when(new.isNotNull(), new[i]).otherwise(old[j])
+        made = F.struct(
+            pri.alias("pri"), F.shiftright(pri, 3).alias("facility"), pri.bitwiseAND(F.lit(7)).alias("severity"), either(2, 0).alias("ts"), either(3, 1).alias("host"),
+            _given(either(4, 2)).alias("prog"), _given(either(5, 3)).try_cast("bigint").alias("pid"), _given(new[6]).alias("msgid"), either(8, 4).alias("msg"),
+        )
+        return F.when((pri <= 191) | (new.isNull() & old.isNotNull()), made)
+
+    return bound(_groups(line, RFC5424, 9), lambda new: bound(F.struct(new.alias("new"), F.when(new.isNull(), _groups(line, RFC3164, 5)).alias("old")), record))
+
+
+# What the groups of each kind of access log are.
+ACCESS_LOGS = (
+    (EXTENDED, ("ip", "host", "user", "port", "ts", "req", "query", "status", "size", "referer", "ua", "timing")),
+    (COMBINED, ("ip", "user", "ts", "req", "status", "size", "referer", "ua")),
+    (COMMON, ("ip", "user", "ts", "req", "status", "size")),
+)
 
 
 def access_log(line: Column) -> Column:
     """ip, host, user, port, ts, req, query, method, path, proto, status, size, referer, ua, timing: what the line has of them."""
-    kinds = [(EXTENDED, {"ip": 1, "host": 2, "user": 3, "port": 4, "ts": 5, "req": 6, "query": 7, "status": 8, "size": 9, "referer": 10, "ua": 11, "timing": 12}), (COMBINED, {"ip": 1, "user": 2, "ts": 3, "req": 4, "status": 5, "size": 6, "referer": 7, "ua": 8}), (COMMON, {"ip": 1, "user": 2, "ts": 3, "req": 4, "status": 5, "size": 6})]
-
-    def field(name: str) -> Column:
-        out = F.lit(None).cast("string")
-        for pattern, places in reversed(kinds):
-            got = _group(line, pattern, places[name]) if name in places else F.lit(None).cast("string")
-            out = F.when(line.rlike(pattern), got).otherwise(out)
-        return out
-
-    part = F.split(field("req"), " ", 3)
-    number = lambda name: _given(field(name)).try_cast("bigint").alias(name)
-    record = F.struct(
-        field("ip").alias("ip"), _given(field("host")).alias("host"), _given(field("user")).alias("user"), number("port"), field("ts").alias("ts"), field("req").alias("req"), _given(field("query")).alias("query"),
-        F.get(part, F.lit(0)).alias("method"), F.get(part, F.lit(1)).alias("path"), F.get(part, F.lit(2)).alias("proto"), number("status"), number("size"), _given(field("referer")).alias("referer"), _given(field("ua")).alias("ua"), _given(field("timing")).alias("timing"),
-    )
-    return F.when(line.rlike(EXTENDED) | line.rlike(COMBINED) | line.rlike(COMMON), record)
+    extended, combined, common = (_groups(line, pattern, len(names)) for pattern, names in ACCESS_LOGS)
+
+    def record(found: Column) -> Column:
+        def field(name: str) -> Column:
+            of = [found[f"k{k}"][names.index(name)] for k, (_, names) in enumerate(ACCESS_LOGS) if name in names]
+            return F.coalesce(*of)
+
+        part = F.split(field("req"), " ", 3)
+        number = lambda name: _given(field(name)).try_cast("bigint").alias(name)
+        made = F.struct(
+            field("ip").alias("ip"), _given(field("host")).alias("host"), _given(field("user")).alias("user"), number("port"), field("ts").alias("ts"), field("req").alias("req"), _given(field("query")).alias("query"),
+            F.get(part, F.lit(0)).alias("method"), F.get(part, F.lit(1)).alias("path"), F.get(part, F.lit(2)).alias("proto"), number("status"), number("size"), _given(field("referer")).alias("referer"), _given(field("ua")).alias("ua"), _given(field("timing")).alias("timing"),
+        )
+        return F.when(F.coalesce(found["k0"], found["k1"], found["k2"]).isNotNull(), made)
+
+    # each kind is tried on lines that those before didn't take, and once
+    then = lambda a, b: bound(F.when(b.isNull() & a.isNull(), common), lambda c: record_of(a, b, c))
+    record_of = lambda a, b, c: bound(F.struct(a.alias("k0"), b.alias("k1"), c.alias("k2")), record)
+    return bound(extended, lambda a: bound(F.when(a.isNull(), combined), lambda b: then(a, b)))
 
 
 def _fields(df: DataFrame, line: str, width: int | None) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglattice.functions import columns as fn
+from loglattice.functions import own
 from loglattice.functions.patterns import PATTERNS, extract_pattern, patterns, template
 
 
@@ -108,3 +109,15 @@ def test_values_that_cannot_be_taken_give_null(spark):
     ])
     got = spark.createDataFrame([("a",), ("1",), (None,)], "x string").select(fn.evaluates(F.col("x").cast("int")).alias("ok")).collect()
     assert [r.ok for r in got] == [False, True, True]
+
+
+def test_functions_of_ones_own(spark, tmp_path):
+    (tmp_path / "a.sql").write_text("-- sizes\nown_size(n INT) RETURNS STRING\n  RETURN CASE WHEN n > 1 THEN 'many' ELSE 'one' END\n\nown_twice(n INT) RETURNS INT RETURN 2 * n\n")
+    (tmp_path / "b.sql").write_text("own_twice(n INT) RETURNS INT RETURN n + n + 0 * own_times()\n".replace("own_times()", "1"))
+    assert own.include(spark, str(tmp_path / "a.sql"), str(tmp_path / "b.sql")) == ["own_size", "own_twice", "own_twice"]
+    assert spark.range(1).selectExpr("own_size(2)", "own_twice(3)").first()[:] == ("many", 6)
+    own.define(spark, "own_twice(n INT) RETURNS INT RETURN 20 * n")
+    plan = spark.range(5).where("own_twice(cast(id as int)) = 40")
+    assert plan.count() == 1 and "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="no function"):
+        own.define(spark, "nothing")

@@ -320,3 +320,9 @@ def ordered_files(spark, tmp_path):
     assert [r.line for f in sorted((tmp_path / "d").glob("part-*")) for r in spark.read.parquet(str(f)).collect()] == want
     with pytest.raises(ValueError, match="order"):
         Pipeline(rows).write(str(tmp_path / "e"), ordered=True)
+
+
+def test_lines_that_hold_what_stands_between_groups(spark):
+    df = lines(spark, '10.0.0.9 - bob [t] "GET /a\x01b HTTP/1.1" 200 12 "r" "U\x01A"', "Feb  1 08:00:00 h app[7]: a\x01b")
+    assert [(r.path, r.ua) for r in readers.parse(df, "combined").collect()] == [("/a\x01b", "U\x01A")]
+    assert [(r.prog, r.pid, r.msg) for r in readers.parse(df, "syslog").collect()] == [("app", 7, "a\x01b")]
