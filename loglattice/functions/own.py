@@ -35,7 +35,7 @@ def include(spark: SparkSession, *paths: str) -> list[str]:
     """Takes the definitions in files, in the files' order: blank lines part them, lines that begin with `--` are remarks."""
     names = []
     for path in paths:
-        text = spark.read.option("wholetext", True).text(path).first()
+        text = spark.read.text(path, wholetext=True).first()
         for part in re.split(r"\n[ \t]*\n", "\n".join(x for x in (text.value if text else "").splitlines() if not x.lstrip().startswith("--"))):
             if part.strip():
                 names += define(spark, part)
