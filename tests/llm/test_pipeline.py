@@ -106,4 +106,4 @@ def test_whole_run(spark, stages):
 
 def test_every_operator_has_one_query():
     names = [n for n in llm.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
