@@ -2,13 +2,15 @@
 
 A host's labels, reversed, make a key under which a domain and its subdomains are one interval. Pages and rules
 are dealt to slots of the key's range, a rule to every slot that its interval meets; each slot is sorted and swept
-once with a stack of the hosts that are open, whose rules are held against the page's path. Rules may be many: no
-side is broadcast, and what the driver sees is SAMPLE keys, from which it takes the slots' bounds. A key that fills
+once with a stack of the hosts that are open. Paths are intervals, too: a host's rules come sorted by path, each
+knows the one that it is nested in, and a page goes from the last rule at or before its path outwards to the first
+that it starts with. A page thus costs a binary search and the rules nested around it for each open host, however
+many rules a host has. Rules may be many: no side is broadcast, and what the driver sees is SAMPLE keys, from which it takes the slots' bounds. A key that fills
 several slots is dealt over all of them, so that one host, or one url, may hold any share of the pages.
 
 Edge cases: a null url, or one without `://`, has an empty host and path and fits no rule; rules with a null or
 empty host are left out, a null path counts as empty; of two fitting rules of equal length, that of the longer host
-wins; repeated pages each get a row; an empty table gives an empty result; extra columns have no effect.
+wins, and of rules for the same host and path the first verdict in order; repeated pages each get a row; an empty table gives an empty result; extra columns have no effect.
 """
 
 from __future__ import annotations
@@ -40,6 +42,32 @@ def key_of(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
+class Nested:
+    """A host's rules, added in order of their paths."""
+
+    def __init__(self, key: str):
+        self.key = key
+        self.paths: list[str] = []
+        self.rules: list[tuple[str, str]] = []
+        self.outer: list[int] = []  # the place of the rule that each is nested in, or -1
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        if not self.paths or self.paths[-1] != path:
+            self.outer.append(self._around(path, len(self.paths) - 1))
+            self.paths.append(path)
+            self.rules.append((rule, verdict))
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        """The rule of the longest path that path starts with: it is around whatever stands between it and path."""
+        at = self._around(path, bisect_right(self.paths, path) - 1)
+        return self.rules[at] if at >= 0 else None
+
+    def _around(self, path: str, at: int) -> int:
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.outer[at]
+        return at
+
+
 def bounds_of(pages: DataFrame, slots: int) -> list[str]:
     """Keys that cut the pages into about equal slots, from a sample drawn by hash: SAMPLE keys, however many pages there are."""
     share = SAMPLE / max(SAMPLE, pages.count())
@@ -72,25 +100,22 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(range(at, at + n), pa.int32()), *(pa.array([row[c]] * n, pa.string()) for c in ("key", "host", "path", "verdict"))], names=["slot", "key", "host", "path", "verdict"])
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, open_hosts = None, []  # of (key, [(path, rule, verdict)]), each key a prefix of the next one's
+        slot, open_hosts = None, []  # each key a prefix of the next one's
         for batch in batches:
             out = []
             for s, key, is_page, page_id, host, path, verdict in zip(*(batch[c].to_pylist() for c in ("slot", "key", "is_page", "page_id", "host", "path", "verdict")), strict=True):
                 if s != slot:
                     slot, open_hosts = s, []
-                while open_hosts and not key.startswith(open_hosts[-1][0]):
+                while open_hosts and not key.startswith(open_hosts[-1].key):
                     open_hosts.pop()
                 if not is_page:
-                    if not open_hosts or open_hosts[-1][0] != key:
-                        open_hosts.append((key, []))
-                    open_hosts[-1][1].append((path, host + path, verdict))
+                    if not open_hosts or open_hosts[-1].key != key:
+                        open_hosts.append(Nested(key))
+                    open_hosts[-1].add(path, host + path, verdict)
                     continue
-                best = None
-                for _, nested in reversed(open_hosts):
-                    for prefix, rule, of_rule in nested:
-                        if path.startswith(prefix) and (best is None or len(rule) > len(best[0])):
-                            best = (rule, of_rule)
-                out.append((page_id, host, path, *(best or (None, default))))
+                fitting = [x for x in (nested.longest(path) for nested in reversed(open_hosts)) if x]
+                best = max(fitting, key=lambda x: len(x[0]), default=(None, default))  # the first of the longest
+                out.append((page_id, host, path, *best))
             if out:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["page_id", "host", "path", "rule", "verdict"])
@@ -99,5 +124,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     known = rules.where(F.coalesce(rules["host"], F.lit("")) != "").select(F.translate(rules["host"], UPPER, LOWER).alias("host"), F.coalesce(rules["path"], F.lit("")).alias("path"), rules["verdict"])
     copied = known.withColumn("key", key_of(F.col("host"))).mapInArrow(rule_slots, "slot int, key string, host string, path string, verdict string")
     rows = dealt.withColumns({"is_page": F.lit(True), "verdict": F.lit(None).cast("string")}).unionByName(copied.withColumns({"is_page": F.lit(False), "page_id": F.lit(None).cast("long")}))
-    placed = rows.repartitionById(slots, F.col("slot")).sortWithinPartitions("slot", "key", "is_page")
+    placed = rows.repartitionById(slots, F.col("slot")).sortWithinPartitions("slot", "key", "is_page", "path", "verdict")
     return placed.mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string")
