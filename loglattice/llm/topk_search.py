@@ -5,9 +5,11 @@ A code is the signs of a vector's components. Rows are dealt to blocks of bounde
 what it meets; having searched radius r in segments up to j, and r - 1 in the others, it has met every code within
 distance m * r + j of m segments. It stops when its k-th distance is covered. The best k of each block meet by query.
 
-A stated query set is held against all rows: each block of rows is one partition, and the blocks of queries, which are
-far fewer, come to it one after another. Equal codes are one entry with the k smallest ids, so that a frequent vector
-costs no more than others.
+A stated query set is held against all rows: blocks of rows are large (a million codes are 16 MB), so that radii stay
+small and few blocks answer each query. A task has a block of rows, in pieces, and a share of the blocks of queries,
+which come to it one after another; shares are so many that all cores have work where blocks are few, and that no
+task has more than TASK_QUERIES. Equal codes are one entry with the k smallest ids, so that a frequent vector costs no
+more than others.
 
 Edge cases: rows with a null id or vector, with a null component, or with another number of components than the
 first row by id, are neither found nor queries; NaN counts as negative; distances tie by id; a query finds itself;
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rows of a block of the index, and of a block of queries, about.
-ROWS_BLOCK, QUERY_BLOCK = 8_192, 2_048
+#: Rows of a block of the index, of a piece in which it travels, of a block of queries, and of a task's queries, about.
+ROWS_BLOCK, PIECE, QUERY_BLOCK, TASK_QUERIES = 1_000_000, 8_192, 256, 200_000
 
 
 def codes_of(vectors: DataFrame) -> DataFrame:
@@ -57,10 +59,10 @@ class Block:
         order = np.lexsort((ids, *codes.T[::-1]))
         ids, codes = ids[order], codes[order]
         new = np.append(True, (codes[1:] != codes[:-1]).any(axis=1)) if len(codes) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        self.ids = [ids[a : min(a + k, b)] for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True)]
-        self.codes, self.k = codes[starts], k
-        self.orders = [np.argsort(s, kind="stable") for s in self.codes.T]
+        self.starts = np.flatnonzero(new)
+        self.ends = np.minimum(self.starts + k, np.append(self.starts[1:], len(ids)))
+        self.ids, self.codes, self.k = ids, codes[self.starts], k
+        self.orders = [np.argsort(s, kind="stable").astype("i4") for s in self.codes.T]
         self.sorted = [s[o] for s, o in zip(self.codes.T, self.orders, strict=True)]
         self.masks: list[np.ndarray] = []
 
@@ -86,7 +88,10 @@ class Block:
                     met[found] = True
                     distances = np.bitwise_count(self.codes[found] ^ code).sum(axis=1)
                     worst = near[self.k - 1][0] if len(near) >= self.k else 16 * m
-                    near += [(int(d), int(i)) for x, d in zip(found, distances, strict=True) if d <= worst for i in self.ids[x]]
+                    close = np.flatnonzero(distances <= worst)
+                    if len(close) > self.k:  # what is further than the k-th of these is not among the best
+                        close = close[distances[close] <= np.partition(distances[close], self.k - 1)[self.k - 1]]
+                    near += [(int(distances[x]), int(i)) for x in close for i in self.ids[self.starts[found[x]] : self.ends[found[x]]]]
                     near = sorted(near)[: self.k]
                 if len(near) >= self.k and near[-1][0] <= m * r + j:
                     return near
@@ -97,28 +102,36 @@ class Block:
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, distance: the k nearest rows of vectors (vec_id, embedding) of each row whose id is divisible by every."""
-    codes = written(codes_of(vectors), "codes")
+    codes = written(codes_of(vectors), "codes", row_id="row")
     n = codes.count()
     asked = codes.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     q = asked.count()
     row_blocks, query_blocks = max(1, math.ceil(n / ROWS_BLOCK)), max(1, math.ceil(q / QUERY_BLOCK))
-    packed = lambda df, blocks: df.groupBy(F.pmod(F.xxhash64("vec_id", "code"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("vec_id", "code")).alias("rows"))
-    mine = packed(codes, row_blocks).select("block", F.lit(-1).alias("part"), "rows")
-    parts = packed(asked, query_blocks).select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("of"), F.col("block").alias("part"), "rows").withColumnRenamed("of", "block")
-    both = mine.unionByName(parts).repartitionById(row_blocks, F.col("block")).sortWithinPartitions("block", "part")
+    cores = codes.sparkSession.sparkContext.defaultParallelism
+    shares = min(query_blocks, max(math.ceil(cores / row_blocks), math.ceil(q / TASK_QUERIES)))
+    packed = lambda df, pieces: df.groupBy(F.pmod(F.xxhash64("row"), F.lit(pieces)).cast("int").alias("piece")).agg(F.collect_list(F.struct("vec_id", "code")).alias("rows"))
+    every_one = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    pieces = packed(codes, max(row_blocks, math.ceil(n / PIECE))).select((F.col("piece") % row_blocks).alias("block"), every_one(shares).alias("share"), F.lit(False).alias("asks"), "rows")
+    parts = packed(asked, query_blocks).select(every_one(row_blocks).alias("block"), (F.col("piece") % shares).alias("share"), F.lit(True).alias("asks"), "rows")
+    both = pieces.unionByName(parts).select((F.col("block") * shares + F.col("share")).alias("task"), "asks", "rows").repartitionById(row_blocks * shares, F.col("task")).sortWithinPartitions("task", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, index = None, None
+        at, held, index = None, [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                block, ids, wanted = batch["block"][i].as_py(), *_arrays(batch["rows"][i].values)
-                if batch["part"][i].as_py() < 0:
-                    at, index = block, Block(ids, wanted, k)
+                task, ids, found = batch["task"][i].as_py(), *_arrays(batch["rows"][i].values)
+                if task != at:
+                    at, held, index = task, [], None
+                if not batch["asks"][i].as_py():
+                    held.append((ids, found))
                     continue
-                if block != at:  # no row was dealt to this block
+                if index is None and held:
+                    index = Block(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
+                    held = []
+                if index is None:  # no row was dealt to this block
                     continue
-                found = [(int(one), v, d) for one, code in zip(ids, wanted, strict=True) for d, v in index.search(code)]
-                cols = list(zip(*found, strict=True)) or [(), (), ()]
+                best = [(int(one), v, d) for one, code in zip(ids, found, strict=True) for d, v in index.search(code)]
+                cols = list(zip(*best, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "distance"])
 
     best = both.mapInArrow(run, "query_id long, vec_id long, distance long")

@@ -392,8 +392,8 @@ def test_topk(spark):
 def test_topk_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = [(i, rng.normal(size=64).tolist()) for i in range(2000)]
-    monkeypatch.setattr(topk_search, "ROWS_BLOCK", 300)
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 9)
+    for name, size in (("ROWS_BLOCK", 300), ("PIECE", 70), ("QUERY_BLOCK", 9), ("TASK_QUERIES", 15)):
+        monkeypatch.setattr(topk_search, name, size)
     got = sorted((r.query_id, r.distance, r.vec_id) for r in topk_search.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect())
     codes = np.array([v for _, v in data]) >= 0
     want = [(q, *x) for q in range(0, 2000, 50) for x in sorted((int((codes[q] != codes[i]).sum()), i) for i in range(2000))[:10]]
