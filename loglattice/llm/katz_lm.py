@@ -26,16 +26,19 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, remainder, written
+from .common import discard, regrouped, remainder, written
 
 #: Counts up to K are discounted; tokens of a chunk; pairs of a partition, about; tokens from which a context is spread.
 K, CHUNK, PAIRS, HOT = 5, 1_000_000, 1_500_000, 400_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end token is no word; the start is a context only.
 END, START = b" ", -1
+#: Chunks that a task may have, of a million tokens each; a word's number is its chunk's, then PLACES for its place there.
+TASK_CHUNKS, PLACES = 1 << 13, 1 << 30
+LAST_CHUNK = (1 << 63) // PLACES
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -105,10 +108,13 @@ def chunked(docs: DataFrame, held_out: int, folds: int, chunk: int) -> DataFrame
     schema = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, counts array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 11  # the same again if the task is repeated
+        first = TaskContext.get().partitionId() * TASK_CHUNKS  # the same again if the task is repeated
+        number = first
         ids, held, lengths, places, known = [], [], [], [], {END: 0}
 
         def flush() -> pa.RecordBatch:
+            if number >= min(first + TASK_CHUNKS, LAST_CHUNK):
+                raise ValueError(f"over {TASK_CHUNKS} chunks in a task, or over {LAST_CHUNK // TASK_CHUNKS} tasks: raise the tokens of a chunk, or the bytes of a task")
             at = np.concatenate(places)
             trained = np.repeat(~np.array(held), lengths)
             counts = np.bincount(at[trained], minlength=len(known))
@@ -140,9 +146,10 @@ def with_counts(chunks: DataFrame) -> DataFrame:
     """Chunks whose words have become numbers: w_id (its first chunk and place there) and c (its count in training); and
     of the words that are at home in the chunk, how many occur 1 to K + 1 times, and at all."""
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("chunk", "at", "x.words", "x.counts")
-    every = Window.partitionBy("words")
-    mine = F.col("chunk") * (1 << 32) + F.col("at")
-    counted = words.withColumn("c", F.sum("counts").over(every)).withColumn("w_id", F.min(mine).over(every))
+    mine = F.col("chunk") * PLACES + F.col("at")
+    # a frequent word is in every chunk: it is summed in parts, and the join may split its rows
+    totals = words.groupBy("words").agg(F.sum("counts").alias("c"), F.min(mine).alias("w_id"))
+    counted = words.select("chunk", "at", "words").join(regrouped(totals, "words"), "words")
     by_chunk = counted.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("at", "c", "w_id")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +158,7 @@ def with_counts(chunks: DataFrame) -> DataFrame:
                 known = batch["known"][i].values
                 order = np.argsort(known.field("at").to_numpy())
                 c, w_id = known.field("c").to_numpy()[order], known.field("w_id").to_numpy()[order]
-                home = c[w_id == batch["chunk"][i].as_py() * (1 << 32) + np.arange(len(c))]
+                home = c[w_id == batch["chunk"][i].as_py() * PLACES + np.arange(len(c))]
                 of_counts = np.bincount(np.minimum(home, K + 2), minlength=K + 3)
                 one = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([one["chunk"], one["doc_ids"], one["held"], one["lengths"], one["tokens"], pa.array([packed(c)], pa.binary()), pa.array([packed(w_id)], pa.binary()), pa.array([int((home > 0).sum())], pa.int64()), pa.array([of_counts[1 : K + 2].tolist()], pa.list_(pa.int64()))], names=["chunk", "doc_ids", "held", "lengths", "tokens", "c", "w_id", "types", "of_counts"])

@@ -483,3 +483,11 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert dropped <= want and len(want & dropped) >= 0.97 * len(want) and len(want) > 150
     short = {i for i in want if len(lines[i]) < line_dedup.SHORT and len(lines[root[i]]) < line_dedup.SHORT}
     assert short and short <= dropped
+
+
+def test_chunk_numbers_do_not_run_over(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    assert katz_lm.chunked(docs, 0, 10, 500).select("chunk").distinct().count() == 8
+    monkeypatch.setattr(katz_lm, "TASK_CHUNKS", 7)
+    with pytest.raises(Exception, match="over 7 chunks in a task"):
+        katz_lm.chunked(docs, 0, 10, 500).count()
