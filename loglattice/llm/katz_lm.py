@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, regrouped, remainder, written
@@ -36,6 +36,8 @@ K, CHUNK, PAIRS, HOT = 5, 1_000_000, 1_500_000, 400_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end token is no word; the start is a context only.
 END, START = b" ", -1
+#: Chunks that a word is in from which its count is summed apart, so that no task has all of its rows.
+SHARED = 10_000
 #: Chunks that a task may have, of a million tokens each; a word's number is its chunk's, then PLACES for its place there.
 TASK_CHUNKS, PLACES = 1 << 13, 1 << 30
 LAST_CHUNK = (1 << 63) // PLACES
@@ -142,14 +144,17 @@ def chunked(docs: DataFrame, held_out: int, folds: int, chunk: int) -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
-def with_counts(chunks: DataFrame) -> DataFrame:
+def with_counts(chunks: DataFrame, shared: int = SHARED) -> DataFrame:
     """Chunks whose words have become numbers: w_id (its first chunk and place there) and c (its count in training); and
     of the words that are at home in the chunk, how many occur 1 to K + 1 times, and at all."""
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("chunk", "at", "x.words", "x.counts")
     mine = F.col("chunk") * PLACES + F.col("at")
-    # a frequent word is in every chunk: it is summed in parts, and the join may split its rows
-    totals = words.groupBy("words").agg(F.sum("counts").alias("c"), F.min(mine).alias("w_id"))
-    counted = words.select("chunk", "at", "words").join(regrouped(totals, "words"), "words")
+    # a frequent word is in every chunk: it is summed in parts, and its rows are dealt out by chunk
+    totals = words.groupBy("words").agg(F.sum("counts").alias("all_c"), F.min(mine).alias("all_id"), F.count(F.lit(1)).alias("n"))
+    frequent = written(totals.where(F.col("n") >= shared).drop("n"), "frequent-words")
+    dealt = regrouped(words.join(frequent, "words", "left"), "words").withColumn("deal", F.when(F.col("all_c").isNotNull(), F.col("chunk")))
+    every = Window.partitionBy("words", "deal")
+    counted = dealt.withColumn("c", F.coalesce("all_c", F.sum("counts").over(every))).withColumn("w_id", F.coalesce("all_id", F.min(mine).over(every)))
     by_chunk = counted.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("at", "c", "w_id")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,13 +334,13 @@ def evaluated(chunks: DataFrame, replies: DataFrame, unigrams: Unigrams, d: np.n
     return both.mapInArrow(run, schema)
 
 
-def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, chunk: int = CHUNK, pairs: int = PAIRS, hot: int = HOT) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, chunk: int = CHUNK, pairs: int = PAIRS, hot: int = HOT, shared: int = SHARED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Documents whose crc32(doc_id as text) mod folds is held_out are scored, but not learned from.
     """
     texts = written(chunked(docs, held_out, folds, chunk), "lm-texts")
-    chunks = written(with_counts(texts), "lm-chunks")
+    chunks = written(with_counts(texts, shared), "lm-chunks")
     discard(texts)
     add = lambda col, start: F.aggregate(col, F.lit(start).cast("long"), lambda n, x: n + x)
     trained = F.zip_with("lengths", "held", lambda n, h: F.when(h, 0).otherwise(n))

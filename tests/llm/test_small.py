@@ -252,8 +252,9 @@ def test_mixing(docs, rows, empty, spark):
     assert mixed.count() == sum(r.copies for r in got)
 
 
-def test_katz_model_matches_brute_force(docs, rows, empty):
-    out = katz_lm.score_documents(docs, chunk=500, pairs=300, hot=40).collect()
+@pytest.mark.parametrize("shared", [2, katz_lm.SHARED])
+def test_katz_model_matches_brute_force(docs, rows, empty, shared):
+    out = katz_lm.score_documents(docs, chunk=500, pairs=300, hot=40, shared=shared).collect()
     held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0 for r in rows]
     uni, bi = Counter(), Counter()
     for r, h in zip(rows, held, strict=True):
