@@ -43,6 +43,14 @@ def test_named_patterns(spark):
     assert [r.name for r in patterns(spark).collect()] == sorted(PATTERNS)
 
 
+def test_patterns_by_ascii(spark):
+    """Letters of other scripts are no word characters, a vertical tab is no blank, and a dot stops at newlines only: as in the SQL."""
+    check(spark, [
+        (extract_pattern("oauth", F.lit("\u00ef" + "aition" * 4)), "aition" * 4), (extract_pattern("oauth", F.lit("aition" * 4 + "\u0301\u00e9 x")), "aition" * 4), (extract_pattern("sha1", F.lit("_" + "a" * 40)), None),
+        (extract_pattern("gitcommit", F.lit("\u00e9abcdef0\u00e9")), "abcdef0"), (extract_pattern("url", F.lit("http://a\x0bb c")), "http://a\x0bb"), (extract_pattern("json", F.lit("{a\r\u2028}")), "{a\r\u2028}"), (extract_pattern("json", F.lit("{a\n}")), None),
+    ])
+
+
 def test_templates():
     assert template("{a} [{b:int}]")[1] == [("a", "string"), ("b", "bigint")]
     for bad in ("none", "{1a}", "{a:date}", "{a}{a}", "{}"):
