@@ -475,7 +475,7 @@ def _with_place(df: DataFrame, lines: str = "LINENUM") -> DataFrame:
     """df with each line's place in all files, one after another by name: lines of the files before, and its own number."""
     files = df.groupBy("FILENAME").agg(F.max(lines).alias("n"))
     before = files.select(F.col("FILENAME").alias("f"), (F.sum("n").over(Window.orderBy("FILENAME")) - F.col("n")).alias("before"))
-    return df.join(before, F.col("FILENAME") == F.col("f")).withColumn("place", (F.col("before") + F.col(lines)).cast("long")).drop("f", "before")
+    return df.join(F.broadcast(before), F.col("FILENAME") == F.col("f")).withColumn("place", (F.col("before") + F.col(lines)).cast("long")).drop("f", "before")
 
 
 @query("""

@@ -15,14 +15,26 @@ from pyspark.sql import functions as F
 
 #: Slices of the order's range at most, and rows of one, about; rows of a block of trailing frames.
 SLICES, SLICE_ROWS, BLOCK = 4096, 500_000, 65_536
+#: Binary digits of the number of a split's lines that are taken at once, at most.
+CHUNK_BITS = 14
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """lines (line, FILENAME, block, place) with LINENUM from 1 within each file: block sums, then places within blocks."""
-    counts = lines.groupBy("FILENAME", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("FILENAME", "block", (F.sum("n").over(Window.partitionBy("FILENAME").orderBy("block")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("FILENAME", "block").orderBy("place"))
-    return lines.withColumn("inside", inside).join(before, ["FILENAME", "block"]).select("line", "FILENAME", (F.col("before") + F.col("inside")).alias("LINENUM"))
+def chunk_of(place: str) -> Column:
+    """The chunk of a line, by its place from monotonically_increasing_id: rising within a split, and of a bounded number of lines."""
+    return F.shiftright(place, CHUNK_BITS)
+
+
+def number_lines(lines: DataFrame, parts: int) -> DataFrame:
+    """lines (line, FILENAME, block, place) with LINENUM from 1 within each file: sums of chunks of blocks, then places within chunks.
+
+    parts: tasks to deal the lines to.
+    """
+    chunk = ["FILENAME", "block", "chunk"]
+    lines = lines.withColumn("chunk", chunk_of("place")).repartition(parts, *chunk)
+    counts = lines.groupBy(*chunk).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(*chunk, (F.sum("n").over(Window.partitionBy("FILENAME").orderBy("block", "chunk")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*chunk).orderBy("place"))
+    return lines.withColumn("inside", inside).join(before, chunk).select("line", "FILENAME", (F.col("before") + F.col("inside")).alias("LINENUM"))
 
 
 def place_among(key: Column, cuts: list[float]) -> Column:

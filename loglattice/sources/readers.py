@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.columns import bound, stripped, words
 from ..operators.ordering import number_lines
-from .splitting import csv_records, has_open_quotes, placed_lines, starts_with_open_quote
+from .splitting import csv_records, has_open_quotes, parts_of, placed_lines, starts_with_open_quote
 
 FORMATS = ("line", "jsonl", "csv", "tsv", "logfmt", "syslog", "combined", "fields", "parquet", "orc")
 # File endings that name a format.
@@ -41,8 +41,8 @@ def format_of(paths: Sequence[str], fmt: str | None = None) -> str:
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], keep_blank: bool = False) -> DataFrame:
     """line, FILENAME, LINENUM. Blank lines are numbered and then left out."""
-    placed = placed_lines(spark, [paths] if isinstance(paths, str) else paths)
-    lines = number_lines(placed)
+    paths = [paths] if isinstance(paths, str) else paths
+    lines = number_lines(placed_lines(spark, paths), parts_of(spark, paths))
     return lines if keep_blank else lines.where(stripped("line") != "")
 
 

@@ -57,6 +57,24 @@ def test_csv_in_splits(spark, tmp_path, small_splits):
     assert plain.columns == ["id", "one", "two"] and sorted(tuple(r) for r in plain.na.fill("").collect()) == sorted(tuple(r[2:]) for r in got)
 
 
+def test_windows_span_bounded_chunks_of_a_split(spark, tmp_path, monkeypatch):
+    """One large split: records of several lines over chunks of four lines, blank lines first, and no window over more lines."""
+    monkeypatch.setattr(ordering, "CHUNK_BITS", 2)
+    monkeypatch.setattr(splitting, "PART", 300)
+    text = "\n" * 9 + odd_csv(7, 120)
+    (tmp_path / "a.csv").write_text(text, newline="")
+    placed = splitting.placed_lines(spark, [str(tmp_path)]).withColumn("chunk", ordering.chunk_of("place"))
+    assert placed.select("block").distinct().count() == 1 and splitting.parts_of(spark, [str(tmp_path)]) > 5
+    assert placed.groupBy(*splitting.CHUNK).count().agg(F.max("count")).first()[0] == 4
+    df = readers.read(spark, str(tmp_path), "csv", numbered=True)
+    assert sorted((r.LINENUM, r.id, r.one, r.two) for r in df.na.fill("").collect()) == sorted((line, *f) for line, f in brute(text)[1:])
+    lines = readers.read_lines(spark, str(tmp_path), keep_blank=True)
+    assert [r.line for r in lines.orderBy("LINENUM").collect()] == text.split("\n")[:-1]
+    for plan in (df, lines):
+        windows = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "place#" in x]
+        assert windows and all("chunk#" in x for x in windows)
+
+
 def test_quotes_within_fields_open_nothing(spark, tmp_path, small_splits):
     rows = "".join(f'{i},5" pipe,"say ""hi""\nto {i}"\n' for i in range(60))
     (tmp_path / "x.csv").write_text("a,b,c\n" + rows)
