@@ -7,12 +7,10 @@ those of documents, whatever their names, are carried along up to the last stage
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loglattice.llm.common import discard, shared_folder, table
+from loglattice.llm.common import discard, table, written
 from loglattice.llm.exact_dedup import drop_exact_copies
 from loglattice.llm.language_id import drop_unidentified
 from loglattice.llm.minhash_dedup import drop_near_duplicates
@@ -57,11 +55,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table of documents. A stage's output is removed once the next one's is written."""
     docs, former = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", codec="snappy")
         if former:
             discard(former)
-        docs = former = spark.read.parquet(path)
+        former = docs
     packed = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are written by now
     discard(docs)
     return packed

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import packed_rows, remainder, written
+from .common import giving_back, packed_rows, remainder, written
 
 #: Labelled documents of each language that the model learns from, about; words and n-grams that it keeps.
 PER_LANGUAGE, MOST_WORDS, MOST_GRAMS = 1500, 60_000, 120_000
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, seed:
     share = F.try_element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang")) if shares else F.lit(0.0)
     draw = F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
     sample = labelled.where(draw < share)
-    counts = written(sample.select("lang", "text").mapInArrow(_counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "language-counts")
+    counts = written(sample.select("lang", "text").mapInArrow(giving_back(_counted), "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "language-counts")
     # bounded: each language's most frequent words and n-grams, as many for each, with their counts in all languages
     most = F.when(F.col("n") == 0, MOST_WORDS // max(1, len(shares))).otherwise(MOST_GRAMS // LONGEST // max(1, len(shares)))
     place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
@@ -195,7 +195,7 @@ def judged(docs: DataFrame, model: Model, keep: Callable[[str, float], bool] | N
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = docs.schema if keep else StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def identify_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, has_unique_ids, might_be_in, regrouped, text_of, with_copies, written
+from .common import discard, giving_back, has_unique_ids, might_be_in, regrouped, text_of, with_copies, written
 from .components import connected_components, links_within
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
@@ -143,7 +143,7 @@ def signed(docs: DataFrame, registers: int, size: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_words", "words_digest", "signature", "sketch"])
 
     bare = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_key"), docs["text"])
-    return bare.mapInArrow(run, "doc_id long, text_key long, n_words long, words_digest binary, signature binary, sketch binary")
+    return bare.mapInArrow(giving_back(run), "doc_id long, text_key long, n_words long, words_digest binary, signature binary, sketch binary")
 
 
 def row_key(doc_id: Column | str, text_key: Column | str) -> Column:
@@ -165,7 +165,7 @@ def shingled(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFra
     mine = docs.select(row_key(docs["doc_id"].cast("long"), F.xxhash64(text_of(docs))).alias("rk"), F.xxhash64(text_of(docs)).alias("tk"), docs["text"])
     keyed = wanted.withColumn("rk", row_key("doc_id", "text_key"))
     some = mine.where(might_be_in(F.col("rk"), keyed, "rk"))
-    once = some.mapInArrow(run, "rk long, tk long, digest binary, shingles binary, counts binary").groupBy("rk", "tk").agg(F.first("digest").alias("digest"), F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
+    once = some.mapInArrow(giving_back(run), "rk long, tk long, digest binary, shingles binary, counts binary").groupBy("rk", "tk").agg(F.first("digest").alias("digest"), F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
     both = keyed.join(once, (keyed["rk"] == once["rk"]) & (keyed["text_key"] == once["tk"]) & (keyed["words_digest"] == once["digest"]))
     n_bytes = F.greatest(F.lit(LEAST_TEXT), F.octet_length("signature") + F.octet_length("shingles") + F.octet_length("counts"))
     return both.select("key", "id", "signature", "shingles", "counts", n_bytes.cast("long").alias("n_bytes"))

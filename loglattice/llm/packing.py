@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import giving_back, written
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces of a group, about; gap up to which a sequence counts as full.
@@ -38,7 +38,7 @@ MARK, SEPARATORS = "<|", ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Words that a worker remembers, and tokens of other texts.
 REMEMBERED = 400_000
 #: Characters whose tokens are told at once, about.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 
 
 class Remembered(dict):
@@ -244,7 +244,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
                         out.append((doc_id, k, i // 4, len(part := ids[i : i + step]) // 4, part))
                 yield _rows(out)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, PIECES)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(giving_back(run), PIECES)
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:

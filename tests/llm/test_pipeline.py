@@ -5,12 +5,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from loglattice.llm import minhash_dedup, packing
+from loglattice.llm import common, minhash_dedup, packing
 from loglattice.llm import queries as llm
 
 DATA = "/root/testdata/sf0.001"
@@ -107,3 +108,25 @@ def test_whole_run(spark, stages):
 def test_every_operator_has_one_query():
     names = [n for n in llm.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+
+
+def test_rows_reach_python_in_small_batches(spark, monkeypatch):
+    """Each stage is written with bounded batches, as executors' memory holds the workers' batches, too."""
+
+    def sizes(spark, docs, sf_dir):
+        return docs.mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1).append_column("n", pa.array([b.num_rows])) for b in batches), "doc_id long, n long")
+
+    monkeypatch.setattr(common, "BATCH", 20_000)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", sizes), ("last", lambda spark, docs, sf_dir: common.written(docs))])
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    assert len(rows) > 1 and max(r.n for r in rows) < sum(r.n for r in rows) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def test_tables_for_words_stay_small():
+    """What a worker holds of powers, for hashes of words, while it tokenises 3 million characters."""
+    import public_tokenizers
+
+    packing._POWERS.clear()
+    text = "some words here " * 190_000
+    ids = b"".join(packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))([text]))
+    assert len(ids) == 4 * 3 * 190_000 and sum(x.nbytes for x in packing._POWERS) < 20_000_000
