@@ -157,6 +157,18 @@ def test_links_after_a_round_without_new_pairs(spark):
     assert links_of(spark, [(0, 1), (0, 2), (0, 3)], {(2, 3)}) == {(2, 3)}
 
 
+def test_pairs_of_a_small_bucket_are_made_at_once(spark):
+    """Buckets of few members that are unlike take one search, and none of their members is led again."""
+    asked = []
+
+    def verify(pairs):
+        asked.append({(r.a, r.b) for r in pairs.collect()})
+        return pairs.limit(0)
+
+    linked(spark.createDataFrame([(k, i, 1, 1) for k, ids in enumerate(([1, 2, 3], [3, 4, 5, 6], [7])) for i in ids], "key long, id long, rank long, size long"), verify)
+    assert [x for x in asked if x] == [{(1, 2), (1, 3), (2, 3), (3, 4), (3, 5), (3, 6), (4, 5), (4, 6), (5, 6)}]
+
+
 def test_links_in_a_crowded_bucket(spark, monkeypatch):
     """Pairs that share one crowded bucket only, and of which none is ever led by the other's component."""
     monkeypatch.setattr(components, "CROWDED", 2)
