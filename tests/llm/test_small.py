@@ -504,3 +504,26 @@ def test_chunk_numbers_do_not_run_over(spark, monkeypatch):
     monkeypatch.setattr(katz_lm, "TASK_CHUNKS", 7)
     with pytest.raises(Exception, match="over 7 chunks in a task"):
         katz_lm.chunked(docs, 0, 10, 500).count()
+
+
+def test_lines_without_rare_letters_and_lines_that_repeat_themselves(spark):
+    """Long lines of frequent letters only, of which no run starts at an anchor, and of one word many times."""
+    rng = random.Random(8)
+    common = ["".join(rng.choices("acdeghiklmopqstuwxy", k=6)) for _ in range(60)]
+    line = " ".join(common[:40])
+    docs = [(1, line), (2, " ".join("aided" if i in (7, 30) else w for i, w in enumerate(common[:40]))), (3, "osas " * 300), (4, "osas " * 280 + "cosa"), (5, " ".join(common[20:60]))]
+    rows = line_dedup.lines_by_document(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if r.n_kept == 0} == {2, 4}
+
+
+def test_pairs_that_cannot_be_near_by_place_are_not_asked_for(spark):
+    """A key at one end of one member and at the other of the other; one with several places counts by the nearest."""
+    asked = []
+
+    def verify(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.limit(0)
+
+    rows = [(0, 1, 1, 100, 0), (0, 2, 1, 100, 10), (0, 3, 1, 100, 80), (1, 4, 1, 100, 5), (1, 4, 1, 100, 70), (1, 5, 1, 100, 75)]
+    linked(spark.createDataFrame(rows, "key long, id long, rank long, size long, place int"), verify, 0.8)
+    assert sorted(asked) == [(1, 2), (4, 5)]
